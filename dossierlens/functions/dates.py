@@ -5,7 +5,6 @@ counts come from calendar dates plus the time of day of ``as_of``; they do not d
 """
 
 from datetime import datetime
-from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
@@ -38,45 +37,45 @@ def parse_iso(text: Column) -> Column:
     return F.when(text.rlike(r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$"), text.try_cast("date"))
 
 
-def _iso_text(year: Column, month: Column, day: Column) -> Column:
-    built = F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), month.cast("string"), day.cast("string"))
-    return F.when(year.between(YEAR_MIN, YEAR_MAX), built.try_cast("date").cast("string"))
+def _plausible(date: Column) -> Column:
+    return F.when(F.year(date).between(YEAR_MIN, YEAR_MAX), date.cast("string"))
 
 
-def parse_date(raw: Column, strict_reference: bool = True) -> Column:
-    """Free-form date text to ISO text.
+def _rearranged(text: Column, pattern: str, order: str) -> Column:
+    return F.regexp_replace(text, pattern, order).try_cast("date")
 
-    Day comes first; day and month swap when the month would exceed twelve. With ``strict_reference`` a year-first date
-    whose last part is at most twelve is read year-day-month and only abbreviations shared with English are month words;
-    otherwise year-first means year-month-day and French month words are understood.
-    """
-    text = F.lower(F.regexp_replace(raw, r"(?U)^\s+|\s+\z", ""))
-
-    def part(pattern, i):
-        return F.regexp_extract(text, pattern, i).try_cast("int")
 
-    dmy = r"^(\d{1,2})[/\-.](\d{1,2})[/\-.](\d{4})$"
-    a, b, y = part(dmy, 1), part(dmy, 2), part(dmy, 3)
-    day_first = _iso_text(y, F.when((b <= 12) | (a > 12), b).otherwise(a), F.when((b <= 12) | (a > 12), a).otherwise(b))
-
-    ymd = r"^(\d{4})[/\-.](\d{1,2})[/\-.](\d{1,2})$"
-    y2, p, q = part(ymd, 1), part(ymd, 2), part(ymd, 3)
+def parse_numeric_date(raw: Column, strict_reference: bool = True) -> Column:
+    """``d/m/y`` or ``y-m-d`` text to ISO text. The preferred order of the parts comes first; the other one only gives a
+    date when the preferred month exceeds twelve."""
+    dmy = r"^\D*(\d{1,2})[/\-.](\d{1,2})[/\-.](\d{4})\D*$"
+    ymd = r"^\D*(\d{4})[/\-.](\d{1,2})[/\-.](\d{1,2})\D*$"
     if strict_reference:
-        year_first = _iso_text(y2, F.when(q <= 12, q).otherwise(p), F.when(q <= 12, p).otherwise(q))
+        year_first = F.coalesce(_rearranged(raw, ymd, "$1-$3-$2"), _rearranged(raw, ymd, "$1-$2-$3"))
     else:
-        year_first = _iso_text(y2, p, q)
+        year_first = _rearranged(raw, ymd, "$1-$2-$3")
+    return _plausible(
+        F.when(raw.rlike(ymd), year_first)
+        .when(raw.rlike(dmy), F.coalesce(_rearranged(raw, dmy, "$3-$2-$1"), _rearranged(raw, dmy, "$3-$1-$2"))))
+
 
-    worded = r"(?U)^(\d{1,2})\s+(\p{L}+)\.?\s+(\d{4})$"
-    month = F.regexp_extract(text, worded, 2)
+def parse_worded_date(raw: Column, strict_reference: bool = True) -> Column:
+    """``d month y`` text to ISO text."""
+    worded = r"(?U)^\s*(\d{1,2})\s+(\p{L}+)\.?\s+(\d{4})\s*$"
     months = STRICT_MONTHS if strict_reference else FRENCH_MONTHS
-    month_no = reduce(
-        lambda chain, item: chain.when(month == item[0], F.lit(item[1])),
-        list(months.items())[1:],
-        F.when(month == list(months)[0], F.lit(list(months.values())[0])),
-    )
-    with_word = _iso_text(part(worded, 3), month_no, part(worded, 1))
+    table = F.create_map(*[F.lit(part) for item in months.items() for part in (item[0], f"$3-{item[1]}-$1")])
+    order = F.try_element_at(table, F.lower(F.regexp_extract(raw, worded, 2)))
+    return _plausible(F.regexp_replace(raw, F.lit(worded), order).try_cast("date"))
+
+
+def parse_date(raw: Column, strict_reference: bool = True) -> Column:
+    """Free-form date text to ISO text.
 
-    return F.when(text.rlike(dmy), day_first).when(text.rlike(ymd), year_first).otherwise(with_word)
+    Day comes first; day and month swap when the month would exceed twelve. With ``strict_reference`` a year-first date
+    whose last part is at most twelve is read year-day-month and only abbreviations shared with English are month words;
+    otherwise year-first means year-month-day and French month words are understood.
+    """
+    return F.coalesce(parse_numeric_date(raw, strict_reference), parse_worded_date(raw, strict_reference))
 
 
 def days_until(date: Column, as_of: datetime) -> Column:

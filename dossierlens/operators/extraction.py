@@ -67,9 +67,8 @@ TYPES_WITH_AMOUNTS = ["FACTURE", "DEVIS"]
 TYPES_WITH_TVA_NUMBER = ["FACTURE", "DEVIS", "SIRET", "KBIS"]
 
 
-def extract_siret(text: Column) -> Column:
-    """Labelled SIRET, otherwise the 14-digit candidate nearest to the word; ties and no word take the earliest."""
-    labelled = identifiers.clean_number(tx.first_match(SIRET_LABELLED, text))
+def nearest_siret(text: Column) -> Column:
+    """The 14-digit candidate nearest to the word SIRET; ties, and texts without the word, take the earliest one."""
     candidates = F.regexp_extract_all(text, F.lit(SIRET_FREE), F.lit(1))
     starts = tx.match_starts(SIRET_FREE, text)
     words = tx.match_starts(SIRET_WORD, text)
@@ -78,8 +77,13 @@ def extract_siret(text: Column) -> Column:
         start.alias("start"),
         candidate.alias("candidate"),
     )))
-    nearest = identifiers.clean_number(F.get(ranked, F.lit(0))["candidate"])
-    return F.when(F.length(labelled) == 14, labelled).otherwise(nearest)
+    return identifiers.clean_number(F.get(ranked, F.lit(0))["candidate"])
+
+
+def extract_siret(text: Column) -> Column:
+    """Labelled SIRET, otherwise the nearest candidate."""
+    labelled = identifiers.clean_number(tx.first_match(SIRET_LABELLED, text))
+    return F.when(F.length(labelled) == 14, labelled).otherwise(nearest_siret(text))
 
 
 def extract_siren(text: Column, siret: Column) -> Column:
@@ -91,10 +95,6 @@ def extract_tva_number(text: Column) -> Column:
     return F.upper(identifiers.clean_number(tx.first_match(TVA_NUMBER, text)))
 
 
-def read_amount(pattern: str, text: Column) -> Column:
-    return amounts.parse_amount(tx.first_match(pattern, text))
-
-
 def complete_amounts(ht: Column, tva: Column, ttc: Column) -> dict:
     """Deduce the one missing amount; a deduced VAT must imply a plausible rate."""
     tva_deduced = F.round(ttc - ht, 2)
@@ -108,9 +108,8 @@ def complete_amounts(ht: Column, tva: Column, ttc: Column) -> dict:
     }
 
 
-def extract_rate(text: Column, ht: Column, tva: Column) -> Column:
-    """Rate written in the text, otherwise the legal rate nearest to the one the amounts imply."""
-    raw = tx.first_match(RATE, text)
+def rate_of(raw: Column, ht: Column, tva: Column) -> Column:
+    """The rate captured from the text, otherwise the legal rate nearest to the one the amounts imply."""
     written = F.replace(raw, F.lit(","), F.lit(".")).try_cast("double")
     implied = F.round(F.try_divide(tva, ht) * 100, 1)
     return F.when(
@@ -118,19 +117,8 @@ def extract_rate(text: Column, ht: Column, tva: Column) -> Column:
     ).otherwise(amounts.snap_rate(implied, amounts.COMPUTED_RATE_TOLERANCE, keep_unmatched=False))
 
 
-def read_date(pattern: str, text: Column, strict_reference: bool = True) -> Column:
-    return dates.parse_date(tx.first_match(pattern, text), strict_reference)
-
-
-def first_date(text: Column, strict_reference: bool = True) -> Column:
-    """First match of each general date pattern, taken in pattern order."""
-    return F.coalesce(
-        *[dates.parse_date(tx.first_match(pattern, text, 0), strict_reference) for pattern in ANY_DATE]
-    )
-
-
-def extract_emission(text: Column, strict_reference: bool = True) -> Column:
-    return F.coalesce(read_date(EMISSION, text, strict_reference), first_date(text, strict_reference))
+def extract_rate(text: Column, ht: Column, tva: Column) -> Column:
+    return rate_of(tx.first_match(RATE, text), ht, tva)
 
 
 def extract_number(text: Column, doc_type: Column) -> Column:
@@ -140,27 +128,30 @@ def extract_number(text: Column, doc_type: Column) -> Column:
     return F.coalesce(specific, tx.first_match(NUMBER_ANY, text))
 
 
-def extract_iban(text: Column) -> Column:
-    def compact(c):
-        return F.regexp_replace(F.upper(c), r"(?U)\s", "")
+def _compact(c: Column) -> Column:
+    return F.regexp_replace(F.upper(c), r"(?U)\s", "")
 
-    labelled = compact(tx.first_match(IBAN_LABELLED, text))
-    return F.when(F.length(labelled) == 27, labelled).otherwise(compact(tx.first_match(IBAN_FREE, text)))
 
+def extract_iban(text: Column) -> Column:
+    labelled = _compact(tx.first_match(IBAN_LABELLED, text))
+    return F.when(F.length(labelled) == 27, labelled).otherwise(_compact(tx.first_match(IBAN_FREE, text)))
 
-def extract_bic(text: Column, single_line: bool = False) -> Column:
-    """Labelled BIC, otherwise the first valid one around the IBAN."""
-    def compact(c):
-        return F.regexp_replace(F.upper(c), r"(?U)\s", "")
 
-    labelled = compact(tx.first_match(BIC_LABELLED_LINE if single_line else BIC_LABELLED, text))
+def bic_near_iban(text: Column) -> Column:
+    """First valid BIC within the margin around the IBAN."""
     iban = F.nullif(F.regexp_extract(text, IBAN_FREE, 0), F.lit(""))
     start = F.length(F.get(F.split(text, IBAN_FREE, 2), F.lit(0)))
     around = F.upper(tx.vicinity(text, start, F.length(iban), BIC_IBAN_MARGIN))
     nearby = F.filter(
-        F.transform(F.regexp_extract_all(around, F.lit(BIC_FREE), F.lit(1)), compact), identifiers.bic_valid
+        F.transform(F.regexp_extract_all(around, F.lit(BIC_FREE), F.lit(1)), _compact), identifiers.bic_valid
     )
-    return F.when(identifiers.bic_valid(labelled), labelled).when(iban.isNotNull(), F.get(nearby, F.lit(0)))
+    return F.when(iban.isNotNull(), F.get(nearby, F.lit(0)))
+
+
+def extract_bic(text: Column, single_line: bool = False) -> Column:
+    """Labelled BIC, otherwise the first valid one around the IBAN."""
+    labelled = _compact(tx.first_match(BIC_LABELLED_LINE if single_line else BIC_LABELLED, text))
+    return F.when(identifiers.bic_valid(labelled), labelled).otherwise(bic_near_iban(text))
 
 
 def extract_bank(text: Column) -> Column:
@@ -168,8 +159,8 @@ def extract_bank(text: Column) -> Column:
 
 
 def extract_company_name(text: Column) -> Column:
-    heading = tx.slice_head(text, COMPANY_HEADING_CHARS)
-    return F.coalesce(tx.first_match(COMPANY, heading, 1), tx.first_match(COMPANY, heading, 2))
+    """Company name by its legal form; either alternative of the pattern is the whole match."""
+    return tx.first_match(COMPANY, tx.slice_head(text, COMPANY_HEADING_CHARS), 0)
 
 
 def extract_address(text: Column, single_line: bool = False) -> Column:
@@ -180,55 +171,104 @@ def extract_address(text: Column, single_line: bool = False) -> Column:
 
 def extract_fields(df: DataFrame, text_col: str = "ocr_text", type_col: str = "doc_type", output: str = "extracted",
                    strict_reference: bool = True, single_line: bool = False) -> DataFrame:
-    """Add the ``extracted`` struct. Unlisted types follow the invoice rules, blank text gives NULL fields."""
+    """Add the ``extracted`` struct. Unlisted types follow the invoice rules, blank text gives NULL fields.
+
+    The steps are separate projections: raw captures, fallback captures for the rows that need them, parsed values, and
+    the struct. A capture that is parsed is referred to many times, and generated code evaluates a shared expression once
+    only outside conditional branches, so each capture is materialised as a column before it is parsed.
+    """
     upper_type = F.upper(F.col(type_col))
     kind, body = F.col("_kind"), F.col("_body")
-    base = df.withColumns({
-        "_kind": F.when(upper_type.isin("DEVIS", "SIRET", "URSSAF", "KBIS", "RIB"), upper_type)
-        .otherwise(F.lit("FACTURE")),
-        "_body": F.when(~tx.is_blank(F.col(text_col)), tx.fix_numeric_ocr(F.col(text_col))),
-    })
     with_amounts = kind.isin(TYPES_WITH_AMOUNTS)
-    read = base.withColumns({
-        "_siret": extract_siret(body),
-        "_ht": F.when(with_amounts, read_amount(HT, body)),
-        "_tva": F.when(with_amounts, read_amount(TVA, body)),
-        "_ttc": F.when(with_amounts, read_amount(TTC, body)),
-        "_emission": F.when(kind != "RIB", extract_emission(body, strict_reference)),
-        "_echeance": F.when(with_amounts, read_date(ECHEANCE, body, strict_reference)),
-        "_expiration": F.when(
-            kind.isin("DEVIS", "SIRET", "URSSAF", "KBIS"), read_date(EXPIRATION, body, strict_reference)),
-    })
-    ht, tva, ttc = F.col("_ht"), F.col("_tva"), F.col("_ttc")
-    siret, emission, echeance, expiration = (F.col(c) for c in ("_siret", "_emission", "_echeance", "_expiration"))
-    completed = read.withColumns({f"_{name}": c for name, c in complete_amounts(ht, tva, ttc).items()}).withColumn(
-        "_expiration",
-        F.when(kind == "DEVIS", F.coalesce(expiration, echeance))
-        .when(kind == "URSSAF", F.coalesce(expiration, read_date(URSSAF_EXPIRATION, body, strict_reference)))
-        .when(kind == "KBIS", F.coalesce(
-            expiration, F.date_add(dates.parse_iso(emission), dates.KBIS_VALIDITY_DAYS).cast("string")))
-        .otherwise(expiration),
-    )
+    with_expiry = kind.isin("DEVIS", "SIRET", "URSSAF", "KBIS")
+
+    def parsed(name):
+        return dates.parse_numeric_date(F.col(name), strict_reference)
+
+    def only(condition, pattern, group=1):
+        return F.when(condition, tx.first_match(pattern, body, group))
+
+    steps = [
+        {
+            "_kind": F.when(upper_type.isin("DEVIS", "SIRET", "URSSAF", "KBIS", "RIB"), upper_type)
+            .otherwise(F.lit("FACTURE")),
+            "_body": F.when(~tx.is_blank(F.col(text_col)), tx.fix_numeric_ocr(F.col(text_col))),
+        },
+        {
+            "_siret_label": identifiers.clean_number(tx.first_match(SIRET_LABELLED, body)),
+            "_ht_raw": only(with_amounts, HT),
+            "_tva_raw": only(with_amounts, TVA),
+            "_ttc_raw": only(with_amounts, TTC),
+            "_rate_raw": only(with_amounts, RATE),
+            "_emission_raw": only(kind != "RIB", EMISSION),
+            "_echeance_raw": only(with_amounts, ECHEANCE),
+            "_expiration_raw": only(with_expiry, EXPIRATION),
+            "_number": F.when(with_amounts, extract_number(body, kind)),
+            "_tva_number": F.when(kind.isin(TYPES_WITH_TVA_NUMBER), extract_tva_number(body)),
+            "_iban_label": F.when(kind == "RIB", _compact(tx.first_match(IBAN_LABELLED, body))),
+            "_bic_label": F.when(kind == "RIB", _compact(
+                tx.first_match(BIC_LABELLED_LINE if single_line else BIC_LABELLED, body))),
+            "_bank": F.when(kind == "RIB", extract_bank(body)),
+            "_company": extract_company_name(body),
+            "_address": extract_address(body, single_line),
+        },
+        {
+            "_siret": F.when(F.length("_siret_label") == 14, F.col("_siret_label")).otherwise(nearest_siret(body)),
+            "_ht": amounts.parse_amount(F.col("_ht_raw")),
+            "_tva": amounts.parse_amount(F.col("_tva_raw")),
+            "_ttc": amounts.parse_amount(F.col("_ttc_raw")),
+            "_emission_label": parsed("_emission_raw"),
+            "_echeance": parsed("_echeance_raw"),
+            "_expiration_label": parsed("_expiration_raw"),
+            "_iban": F.when(F.length("_iban_label") == 27, F.col("_iban_label")).when(
+                kind == "RIB", _compact(tx.first_match(IBAN_FREE, body))),
+            "_bic": F.when(identifiers.bic_valid(F.col("_bic_label")), F.col("_bic_label")).when(
+                kind == "RIB", bic_near_iban(body)),
+        },
+        {
+            **{f"_date_{i}": only((kind != "RIB") & F.col("_emission_label").isNull(), pattern, 0)
+               for i, pattern in enumerate(ANY_DATE)},
+            "_urssaf_raw": only((kind == "URSSAF") & F.col("_expiration_label").isNull(), URSSAF_EXPIRATION),
+            **{f"_{name}": c
+               for name, c in complete_amounts(F.col("_ht"), F.col("_tva"), F.col("_ttc")).items()},
+        },
+        {
+            "_emission": F.coalesce(F.col("_emission_label"), parsed("_date_0"), parsed("_date_1"), *[
+                dates.parse_worded_date(F.col(f"_date_{i}"), strict_reference) for i in (2, 3)]),
+            "_rate": F.when(with_amounts, rate_of(F.col("_rate_raw"), F.col("_montant_ht"), F.col("_montant_tva"))),
+        },
+        {
+            "_expiration": F.when(kind == "DEVIS", F.coalesce("_expiration_label", "_echeance"))
+            .when(kind == "URSSAF", F.coalesce(F.col("_expiration_label"), parsed("_urssaf_raw")))
+            .when(kind == "KBIS", F.coalesce(F.col("_expiration_label"), F.date_add(
+                dates.parse_iso(F.col("_emission")), dates.KBIS_VALIDITY_DAYS).cast("string")))
+            .otherwise(F.col("_expiration_label")),
+        },
+    ]
+    staged = df
+    for step in steps:
+        staged = staged.withColumns(step)
+    siret = F.col("_siret")
     fields = {
         "siret": siret,
         "siren": extract_siren(body, siret),
-        "tva_number": F.when(kind.isin(TYPES_WITH_TVA_NUMBER), extract_tva_number(body)),
+        "tva_number": F.col("_tva_number"),
         "montant_ht": F.col("_montant_ht"),
         "montant_tva": F.col("_montant_tva"),
         "montant_ttc": F.col("_montant_ttc"),
-        "taux_tva": F.when(with_amounts, extract_rate(body, F.col("_montant_ht"), F.col("_montant_tva"))),
-        "date_emission": emission,
-        "date_echeance": F.when(kind == "DEVIS", expiration).otherwise(echeance),
-        "date_expiration": expiration,
-        "numero_document": F.when(with_amounts, extract_number(body, kind)),
-        "raison_sociale": extract_company_name(body),
-        "iban": F.when(kind == "RIB", extract_iban(body)),
-        "bic": F.when(kind == "RIB", extract_bic(body, single_line)),
-        "banque": F.when(kind == "RIB", extract_bank(body)),
-        "adresse": extract_address(body, single_line),
+        "taux_tva": F.col("_rate"),
+        "date_emission": F.col("_emission"),
+        "date_echeance": F.when(kind == "DEVIS", F.col("_expiration")).otherwise(F.col("_echeance")),
+        "date_expiration": F.col("_expiration"),
+        "numero_document": F.col("_number"),
+        "raison_sociale": F.col("_company"),
+        "iban": F.col("_iban"),
+        "bic": F.col("_bic"),
+        "banque": F.col("_bank"),
+        "adresse": F.col("_address"),
     }
     extracted = F.struct(*[fields[name].alias(name) for name in schemas.EXTRACTED_FIELDS])
-    return completed.select(*df.drop(output).columns, extracted.alias(output))
+    return staged.select(*[c for c in df.columns if c != output], extracted.alias(output))
 
 
 def compact_extracted(extracted: Column) -> Column:

@@ -69,7 +69,7 @@ def make_anomaly(kind: Column, severity: Column, message: Column, info: Column,
     )
 
 
-def _bag(entries, dtype) -> Column:
+def bag(entries, dtype) -> Column:
     """Concatenate ``(condition, struct)`` pairs; a pair whose condition does not hold adds nothing."""
     empty = F.array().cast(dtype)
     return F.concat(*[F.when(when, F.array(item).cast(dtype)).otherwise(empty) for when, item in entries])
@@ -174,7 +174,7 @@ def apply_local_rules(df: DataFrame, as_of: datetime, check_col: str = "checks",
             details(iban=x["iban"]))),
     ]
     kept = df.drop(check_col, finding_col).columns
-    return judged.select(*kept, _bag(checks, CHECKS).alias(check_col), _bag(findings, FINDINGS).alias(finding_col))
+    return judged.select(*kept, bag(checks, CHECKS).alias(check_col), bag(findings, FINDINGS).alias(finding_col))
 
 
 def rollup_document_status(checks: Column) -> Column:

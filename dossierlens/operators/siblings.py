@@ -50,12 +50,12 @@ def conflicting_groups(groups: DataFrame) -> DataFrame:
     })
 
 
-def comparable(docs: DataFrame, types: list = None) -> DataFrame:
+def comparable(docs: DataFrame, types: list = None, keep: list = ()) -> DataFrame:
     """Documents with a SIRET, flagged by their role: ``compared`` documents get findings, ``sibling`` ones are seen."""
     return docs.select(
         "document_id", "supplier_id", "original_filename", F.col("extracted.siret").alias("siret"),
         F.coalesce(F.col("doc_type").isin(types or TYPES_COMPARED), F.lit(False)).alias("compared"),
-        F.coalesce(F.col("status").isin(schemas.SIBLING_STATUSES), F.lit(False)).alias("sibling"),
+        F.coalesce(F.col("status").isin(schemas.SIBLING_STATUSES), F.lit(False)).alias("sibling"), *keep,
     ).where(~identifiers.absent(F.col("siret")) & (F.col("compared") | F.col("sibling")))
 
 
@@ -68,7 +68,20 @@ def mismatch_counts(docs: DataFrame, types: list = None) -> DataFrame:
 def sibling_siret_mismatch(docs: DataFrame, types: list = None, cell_rows: int = CELL_ROWS,
                            salts: int = SALTS) -> DataFrame:
     """``document_id, supplier_id, original_filename, siret, sibling_document_id, sibling_filename, sibling_siret``."""
-    rows = comparable(docs, types)
+    return mismatching_pairs(comparable(docs, types), cell_rows, salts)
+
+
+def new_sibling_mismatch(docs: DataFrame, is_new: Column, types: list = None) -> DataFrame:
+    """The pairs of ``sibling_siret_mismatch`` in which at least one document is new."""
+    rows = comparable(docs.withColumn("_new", is_new), types, keep=["_new"])
+    new = F.col("_new")
+    fresh_side = rows.withColumn("compared", F.col("compared") & new)
+    stored_side = rows.withColumns({
+        "compared": F.col("compared") & ~new, "sibling": F.col("sibling") & new})
+    return mismatching_pairs(fresh_side).unionByName(mismatching_pairs(stored_side))
+
+
+def mismatching_pairs(rows: DataFrame, cell_rows: int = CELL_ROWS, salts: int = SALTS) -> DataFrame:
     groups = conflicting_groups(siret_counts(rows))
 
     # SIRET pairs. The grid over the supplier's SIRETs only has more than one cell when a supplier has very many.

@@ -92,12 +92,8 @@ def stream_sibling_check(documents: DataFrame, silver: str, findings: str, check
         stored = spark.read.option("basePath", silver).parquet(silver)
         touched = stored.where(F.col("batch") == batch_id).select("supplier_id").distinct()
         known = stored.where(F.col("batch") <= batch_id).join(touched, "supplier_id", "left_semi")
-        fresh = known.where(F.col("batch") == batch_id).select("document_id")
-        pairs = siblings.sibling_siret_mismatch(known)
-        as_current = pairs.join(fresh, "document_id", "left_semi")
-        as_sibling = pairs.join(fresh, "document_id", "left_anti").join(
-            fresh.withColumnRenamed("document_id", "sibling_document_id"), "sibling_document_id", "left_semi")
-        rows = validation.stamp_anomalies(validation.mismatch_findings(as_current.unionByName(as_sibling)), as_of)
+        pairs = siblings.new_sibling_mismatch(known, F.col("batch") == batch_id)
+        rows = validation.stamp_anomalies(validation.mismatch_findings(pairs), as_of)
         rows.write.mode("overwrite").parquet(f"{findings}/batch={batch_id}")
 
     writer = documents.writeStream.option("checkpointLocation", checkpoint).foreachBatch(check)
