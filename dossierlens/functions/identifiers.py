@@ -39,7 +39,7 @@ def siret_luhn(siret: Column) -> Column:
     return (
         F.when(siret.isNull() | ~siret.rlike("^[0-9]{14}$"), F.lit(False))
         .when(siret.startswith("356"), digit_sum % 5 == 0)
-        .otherwise(F.luhn_check(siret))
+        .otherwise(F.call_function("luhn_check", siret))
     )
 
 
