@@ -9,7 +9,7 @@ from dossierlens.catalog import bindings as b
 from dossierlens.catalog.reference_sql import ANO, DOC, PRED, READ_BACK, READ_BACK_RULES, RULES, SUP, sql
 from dossierlens.catalog.registry import query
 from dossierlens.functions import text as tx
-from dossierlens.operators import aggregates, classify, extraction, joins, synth, training, validation
+from dossierlens.operators import aggregates, classify, extraction, joins, rules, synth, training, validation
 from dossierlens.plans.processing import dead_letter, process_documents
 from dossierlens.sources.writers import curated_record
 from dossierlens.storage import scratch_path, stage
@@ -109,9 +109,14 @@ def _rule_rows(validated):
             "document_id", F.lit("finding").alias("kind"), F.col("type").alias("name"), F.col("severity").alias("status")))
 
 
+def judged(spark, sf_dir):
+    """Bound documents with the results of the local rules, written once for the several readers of a validation."""
+    return stage(rules.apply_local_rules(b.documents(spark, sf_dir), b.AS_OF), "judged")
+
+
 def _type_rules(doc_type):
     def plan(spark, sf_dir):
-        docs = b.documents(spark, sf_dir)
+        docs = judged(spark, sf_dir)
         rows = _rule_rows(validation.validate_documents(docs, b.AS_OF))
         return rows.join(docs.where(F.col("doc_type") == doc_type).select("document_id"), "document_id", "left_semi")
     return plan
@@ -124,7 +129,7 @@ for _name, _type in RULE_TYPES.items():
 @query("r01_readability_check", sql(*RULES, """
     SELECT document_id, rule, status FROM chk WHERE rule IN ('ocr_readable', 'ocr_quality')"""))
 def readability(spark, sf_dir):
-    checks = validation.validate_documents(b.documents(spark, sf_dir), b.AS_OF).checks
+    checks = validation.validate_documents(judged(spark, sf_dir), b.AS_OF).checks
     return checks.where(F.col("rule").isin("ocr_readable", "ocr_quality")).select("document_id", "rule", "status")
 
 
@@ -142,7 +147,7 @@ def validate_unknown(spark, sf_dir):
       WHEN count(CASE WHEN chk.status = 'warning' THEN 1 END) > 0 THEN 'warning' ELSE 'ok' END AS validation_status
     FROM doc LEFT JOIN chk USING (document_id) GROUP BY doc.document_id"""))
 def validation_status(spark, sf_dir):
-    return validation.document_statuses(b.documents(spark, sf_dir), b.AS_OF)
+    return validation.document_statuses(judged(spark, sf_dir), b.AS_OF)
 
 
 @query("g09_rollup_document_status", sql(*RULES, """
@@ -150,20 +155,19 @@ def validation_status(spark, sf_dir):
       WHEN count(CASE WHEN status = 'warning' THEN 1 END) > 0 THEN 'warning' ELSE 'ok' END AS status
     FROM local_chk GROUP BY document_id"""))
 def rollup(spark, sf_dir):
-    from dossierlens.operators import rules
-    checked = rules.apply_local_rules(b.documents(spark, sf_dir), b.AS_OF).where(F.size("checks") > 0)
+    checked = judged(spark, sf_dir).where(F.size("checks") > 0)
     return checked.select("document_id", rules.rollup_document_status(F.col("checks")).alias("status"))
 
 
 @query("r09_checks", sql(*RULES, "SELECT document_id, rule, status FROM chk"))
 def checks(spark, sf_dir):
-    return validation.validate_documents(b.documents(spark, sf_dir), b.AS_OF).checks.select(
+    return validation.validate_documents(judged(spark, sf_dir), b.AS_OF).checks.select(
         "document_id", "rule", "status")
 
 
 @query("u03_union_anomalies", sql(*RULES, "SELECT document_id, supplier_id, type, severity FROM find"))
 def anomalies(spark, sf_dir):
-    return validation.validate_documents(b.documents(spark, sf_dir), b.AS_OF).anomalies.select(
+    return validation.validate_documents(judged(spark, sf_dir), b.AS_OF).anomalies.select(
         "document_id", "supplier_id", "type", "severity")
 
 
@@ -187,7 +191,7 @@ def _compliance(spark, sf_dir, found):
 @query("supplier_compliance", sql(SUP, *RULES, COMPLIANCE_SQL))
 def supplier_compliance(spark, sf_dir):
     """Which suppliers are not compliant, and by how many findings."""
-    found = validation.validate_documents(b.documents(spark, sf_dir), b.AS_OF).anomalies
+    found = validation.validate_documents(judged(spark, sf_dir), b.AS_OF).anomalies
     return _compliance(spark, sf_dir, stage(found.select("supplier_id", "severity", "resolved"), "findings"))
 
 

@@ -34,14 +34,22 @@ def mismatch_findings(pairs: DataFrame) -> DataFrame:
         siblings.mismatch_message().alias("message"), siblings.mismatch_details().alias("details"))
 
 
+def unnest(local: DataFrame, column: str, filled: str) -> DataFrame:
+    """One row per array element. The outer form with a filter behind it is deliberate: for the inner form the optimizer
+    adds a non-empty test on the array below the generator and would repeat the rules that build the array."""
+    return local.select("document_id", "supplier_id", F.inline_outer(column)).where(F.col(filled).isNotNull())
+
+
 def validate_documents(docs: DataFrame, as_of: datetime, pairs: DataFrame = None) -> Validated:
     """Validate every document against the rules of its type and against its siblings.
 
     The mismatching siblings of one document are unbounded, so they are never gathered into that document's array: the
     nested ``validation`` gets one ``siret_consistency`` check with their number, while ``checks`` and ``anomalies`` hold
-    one row for each of them. ``pairs`` may carry mismatching pairs that were computed elsewhere (streaming).
+    one row for each of them. ``pairs`` may carry mismatching pairs that were computed elsewhere (streaming). Documents
+    that already carry the ``checks`` and ``findings`` of the local rules, typically a stage, are not judged again.
     """
-    local = rules.apply_local_rules(docs, as_of)
+    judged = {"checks", "findings"} <= set(docs.columns)
+    local = docs if judged else rules.apply_local_rules(docs, as_of)
     pairs = siblings.sibling_siret_mismatch(docs) if pairs is None else pairs
     counts = siblings.mismatch_counts(docs).select(
         "supplier_id", F.col("siret").alias("_siret_key"), "n_mismatch")
@@ -57,7 +65,7 @@ def validate_documents(docs: DataFrame, as_of: datetime, pairs: DataFrame = None
     ).otherwise(F.array().cast(rules.CHECKS))
     merged = counted.withColumn("checks", F.concat("checks", consistency))
     documents = merged.select(
-        *[c for c in docs.columns if c not in ("validation", "status")],
+        *[c for c in docs.columns if c not in ("validation", "status", "checks", "findings")],
         F.struct(
             rules.rollup_document_status(F.col("checks")).alias("status"),
             F.col("checks"), F.lit(as_of).alias("validated_at"),
@@ -66,11 +74,11 @@ def validate_documents(docs: DataFrame, as_of: datetime, pairs: DataFrame = None
     )
 
     pair_rows = mismatch_findings(pairs)
-    checks = local.select("document_id", "supplier_id", F.inline("checks")).unionByName(
+    checks = unnest(local, "checks", "rule").unionByName(
         pair_rows.select(
             "document_id", "supplier_id", F.lit("siret_consistency").alias("rule"), F.lit("error").alias("status"),
             "message", "details"))
-    anomalies = local.select("document_id", "supplier_id", F.inline("findings")).unionByName(pair_rows)
+    anomalies = unnest(local, "findings", "type").unionByName(pair_rows)
     return Validated(documents, checks, stamp_anomalies(anomalies, as_of))
 
 
