@@ -49,6 +49,15 @@ _NAME = "concat('SOCIETE ', translate(lpad(cast({k} as string), 5, '0'), '012345
 _ADDRESS = "concat(cast(1 + {k} % 99 as string), ' RUE DES LILAS, ', cast(75001 + {k} % 20 as string), ' PARIS')"
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Spread compact rows over the cores before they grow into documents.
+
+    A test table is one small file, which Spark reads in one or two tasks, although every row stands for a whole document.
+    Only these narrow rows are moved; tables of real documents have enough files and are never reshuffled for this.
+    """
+    return df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism, key)
+
+
 def suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier")
     n = table(spark, sf_dir, "nation")
@@ -65,10 +74,13 @@ def suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
         "as compliance_status")
 
 
-def documents_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
+def documents_flat(spark: SparkSession, sf_dir: str, spread_rows: bool = False) -> DataFrame:
     """One document per line item, with the fields its type carries and the injected faults."""
     f = FAULTS
-    d = table(spark, sf_dir, "lineitem").selectExpr(
+    items = table(spark, sf_dir, "lineitem")
+    if spread_rows:
+        items = spread(items, "l_orderkey")
+    d = items.selectExpr(
         "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, cast(l_quantity as int)) as document_id",
         "concat('sup-', l_suppkey) as supplier_id", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
         "cast(l_quantity as int) as qty", "l_shipdate as upload_timestamp", "cast(l_shipdate as date) as shipped",
@@ -130,8 +142,8 @@ def nest(flat: DataFrame) -> DataFrame:
     return flat.withColumn("extracted", extracted).drop(*schemas.EXTRACTED_FIELDS)
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nest(documents_flat(spark, sf_dir))
+def documents(spark: SparkSession, sf_dir: str, spread_rows: bool = False) -> DataFrame:
+    return nest(documents_flat(spark, sf_dir, spread_rows))
 
 
 def anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,14 +168,15 @@ def anomalies_of(events: DataFrame) -> DataFrame:
 
 def status_events(events: DataFrame) -> DataFrame:
     return events.selectExpr(
-        "concat('doc-', user_id) as document_id", "event_id", "ts",
+        "concat('doc-', user_id) as document_id", "event_id", "cast(ts as timestamp) as ts",
         "case event_type when 'signup' then 'pending' when 'view' then 'ocr_done' when 'click' then 'classified' "
         "when 'purchase' then 'processed' else 'error' end as status")
 
 
 def ocr_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word-level recognition output of every text."""
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "l"))
+    texts = spread(table(spark, sf_dir, "documents"), "doc_id")
+    lines = texts.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "l"))
     words = lines.select("doc_id", "line", F.posexplode(F.split("l", " ")).alias("pos", "text"))
     return words.selectExpr(
         "concat('doc-', doc_id) as document_id", "1 as page", "1 as pass_no", "1 as block_num", "1 as par_num",

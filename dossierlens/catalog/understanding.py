@@ -19,7 +19,7 @@ KEYS = ["document_id"]
 
 def rendered(spark, sf_dir):
     """Bound documents as text only: the fields are gone and have to be read back."""
-    flat = b.documents_flat(spark, sf_dir).drop("ocr_text")
+    flat = b.documents_flat(spark, sf_dir, spread_rows=True).drop("ocr_text")
     layout = F.pmod(F.col("l_orderkey"), F.lit(synth.LAYOUTS)).cast("int")
     return synth.render_documents(flat, layout).select(
         "document_id", "supplier_id", "original_filename", "mime_type", "file_size_bytes", "upload_timestamp", "status",
@@ -111,7 +111,7 @@ def _rule_rows(validated):
 
 def judged(spark, sf_dir):
     """Bound documents with the results of the local rules, written once for the several readers of a validation."""
-    return stage(rules.apply_local_rules(b.documents(spark, sf_dir), b.AS_OF), "judged")
+    return stage(rules.apply_local_rules(b.documents(spark, sf_dir, spread_rows=True), b.AS_OF), "judged")
 
 
 def _type_rules(doc_type):
