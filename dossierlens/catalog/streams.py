@@ -1,12 +1,9 @@
 """Queries that run a stream to its end and read the result."""
 
-from pyspark.sql import functions as F
-
 from dossierlens.catalog import bindings as b
 from dossierlens.catalog.reference_sql import ANO, DOC, EVT, MISMATCH, READ_BACK, sql
 from dossierlens.catalog.registry import query
 from dossierlens.catalog.understanding import rendered
-from dossierlens.operators import validation
 from dossierlens.storage import scratch_path
 from dossierlens.streaming import jobs
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from dossierlens import schemas
 from dossierlens.catalog import bindings as b
-from dossierlens.catalog.reference_sql import ANO, DOC, PRED, READ_BACK, READ_BACK_RULES, RULES, SUP, sql
+from dossierlens.catalog.reference_sql import DOC, PRED, READ_BACK, READ_BACK_RULES, RULES, SUP, sql
 from dossierlens.catalog.registry import query
 from dossierlens.functions import text as tx
 from dossierlens.operators import aggregates, classify, extraction, joins, rules, synth, training, validation

@@ -153,7 +153,7 @@ def run_state_counts(runs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def label_distribution(df: DataFrame, label: str = "label") -> DataFrame:
-    """Rows and share per label; the total is a scalar of the grouped counts, so the table is scanned once."""
+    """Rows and share per label; the total is a scalar subquery over the same grouped counts."""
     counts = df.groupBy(label).agg(F.count("*").alias("n"))
     return counts.withColumn("share", F.col("n") / counts.agg(F.sum("n")).scalar())
 

@@ -6,7 +6,7 @@ Limits are optional: they exist where a page or a top-k is what the caller asks
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from dossierlens import schemas
 from dossierlens.functions import text as tx

@@ -5,7 +5,6 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, functions as F
 
-from dossierlens import schemas
 from dossierlens.operators import rules, siblings
 
 # ``documents`` carry the nested validation; ``checks`` and ``anomalies`` are one row per finding.
