@@ -1,0 +1,59 @@
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from dossierlens.llm.automaton import Automaton, parse
+from dossierlens.llm.secret_scan import RULES, Scanner, redact, scan_secrets
+
+PATTERNS = {
+    "assign": (re.compile(r"""((?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?)([A-Za-z0-9+/_.=-]+)""", re.A), 6),
+    "access": (re.compile(r"(AKIA)([A-Z0-9]+)"), 16), "hex": (re.compile(r"()([0-9a-f]+)"), 24),
+    "github": (re.compile(r"(gh[pousr]_)([A-Za-z0-9]+)"), 36), "slack": (re.compile(r"(xox[abprs]-)([A-Za-z0-9-]+)"), 10),
+    "pem": (re.compile(r"(-----BEGIN [A-Z ]*PRIVATE KEY)(-----)"), 5),
+}
+KINDS = list(PATTERNS)
+
+
+def brute(text):
+    found = [(m.start(), KINDS.index(kind), m.end()) for kind, (pattern, least) in PATTERNS.items()
+             for m in pattern.finditer(text) if len(m[2]) >= least]
+    return sorted(found)
+
+
+def samples():
+    rng = random.Random(3)
+    bits = ["password", "Secret", "token", "api_key", "APIKEY", "passwd", "=", ":", " ", "'", '"', "abcdef", "0123456789abcdef", "AKIA",
+            "ABCDEFGH12345678", "é", "\n", "ghp_", "xoxb-", "-----BEGIN ", "RSA ", "PRIVATE KEY-----", "aaaa", "=x", "ſ", "K"]
+    return ["".join(rng.choice(bits) for _ in range(rng.randrange(1, 25))) for _ in range(3000)] + ["token=token=abcdefg", "token=token = abcdefgh"]
+
+
+def test_one_pass_equals_separate_expressions():
+    scanner = Scanner()
+    for text in samples():
+        raw = text.encode()
+        got = [(len(raw[:s].decode()), k, len(raw[:e].decode())) for s, k, e in scanner.scan(raw)]
+        assert got == brute(text), repr(text)
+
+
+def test_automaton_is_minimal():
+    assert Automaton([parse("(a|b)*abb")], anywhere=False).states == 5  # four states and the dead one for other bytes
+    with pytest.raises(ValueError):
+        parse("a)")
+    with pytest.raises(ValueError):
+        parse(r"\d")
+
+
+def test_frame_and_redaction(spark):
+    rows = [(1, None, "x"), (2, "", "x"), (3, "é token=abcdef1 end", "x"), (3, "é token=abcdef1 end", "x"), (4, "a" * 30, None), (5, "b " * 50_000, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, secrets string")
+    found = scan_secrets(docs)
+    got = {r.doc_id: [tuple(s) for s in r.secrets] for r in found.collect()}
+    assert got == {1: [], 2: [], 3: [("assign", 2, 15)], 4: [("hex", 0, 30)], 5: []}
+    text = {r.doc_id: r.text for r in redact(found).collect()}
+    assert text[1] is None and text[3] == "é [SECRET] end" and text[4] == "[SECRET]" and len(text[5]) == 100_000
+    overlap = found.where("doc_id = 4").withColumn("secrets", F.expr(
+        "array(struct('hex' as kind, 2 as start, 5 as end), struct('a' as kind, 4 as start, 6 as end), struct('a' as kind, 8 as start, 30 as end))"))
+    assert redact(overlap).first().text == "aa[SECRET]aa[SECRET]"
+    assert scan_secrets(docs.limit(0)).count() == 0 and len(RULES) == len(KINDS)
