@@ -23,7 +23,7 @@ from dossierlens.llm.vocabulary import vocabulary
 
 # Fixed value: how the vocabulary cuts a normalised text into words; white space is dropped.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-KEPT_WORDS, KEPT_LENGTH = 200_000, 40
+KEPT_WORDS, KEPT_LENGTH = 500_000, 40
 
 
 def normalised(text: str) -> str:

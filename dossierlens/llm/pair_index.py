@@ -21,56 +21,57 @@ def merge_words(words: list, merges: dict) -> list:
         before += range(at - 1, at + len(word) - 1)
         if word:
             after[-1] = before[at] = -1
-    index = {}
+    index, get = {}, merges.get
     for at, right in enumerate(after):
-        if right >= 0 and (found := merges.get((symbol[at], symbol[right]))):
+        if right >= 0 and (found := get((symbol[at], symbol[right]))):
             index.setdefault(found[0], []).append(at)
-    by_rank = {}
     active = list(index)
     heapq.heapify(active)
-
-    def enter(left, right):
-        found = merges.get((symbol[left], symbol[right]))
-        if not found:
-            return None
-        positions = index.get(found[0])
-        if positions is None:
-            index[found[0]] = [left]
-            heapq.heappush(active, found[0])
-        else:
-            positions.append(left)
-        return found[0]
-
     while active:
         rank = heapq.heappop(active)
         positions = index.pop(rank)
-        positions.sort()
-        pair = by_rank.get(rank)
+        if len(positions) > 1:
+            positions.sort()
+        # A position names its pair only as long as nothing there was merged, so the pair is looked up once it is current.
+        first = second = joined = -1
         for k, at in enumerate(positions):
             right = after[at]
-            if right < 0 or symbol[at] < 0:
+            if right < 0:
                 continue
-            if pair is None:
-                found = merges.get((symbol[at], symbol[right]))
+            left = symbol[at]
+            if left != first or symbol[right] != second:
+                found = get((left, symbol[right]))
                 if not found or found[0] != rank:
                     continue
-                pair = by_rank[rank] = (symbol[at], symbol[right], found[1])
-            if symbol[at] != pair[0] or symbol[right] != pair[1]:
-                continue
-            symbol[at], symbol[right] = pair[2], -1
+                first, second, joined = left, symbol[right], found[1]
+            symbol[at], symbol[right] = joined, -1
             beyond = after[at] = after[right]
-            lower = None
+            after[right] = -1
+            lower = rank
             if beyond >= 0:
                 before[beyond] = at
-                lower = enter(at, beyond)
-            if before[at] >= 0:
-                other = enter(before[at], at)
-                lower = other if lower is None or other is not None and other < lower else lower
-            if lower is not None and lower < rank:
-                rest = index.setdefault(rank, [])
-                if not rest:
+                if found := get((joined, symbol[beyond])):
+                    other = found[0]
+                    if other in index:
+                        index[other].append(at)
+                    else:
+                        index[other] = [at]
+                        heapq.heappush(active, other)
+                    if other < lower:
+                        lower = other
+            if (prior := before[at]) >= 0 and (found := get((symbol[prior], joined))):
+                other = found[0]
+                if other in index:
+                    index[other].append(prior)
+                else:
+                    index[other] = [prior]
+                    heapq.heappush(active, other)
+                if other < lower:
+                    lower = other
+            if lower < rank:
+                if rank not in index:
                     heapq.heappush(active, rank)
-                rest += positions[k + 1:]
+                index.setdefault(rank, []).extend(positions[k + 1:])
                 break
     out = []
     for at in heads:
@@ -80,3 +81,22 @@ def merge_words(words: list, merges: dict) -> list:
             at = after[at]
         out.append(word)
     return out
+
+
+def merge_word(symbols: list, merges: dict) -> list:
+    """The same for one short word: the ranks of neighbours are kept in a list whose smallest entry is merged first."""
+    get, none = merges.get, (1 << 60, -1)
+    symbols = list(symbols)
+    found = [get(pair, none) for pair in zip(symbols, symbols[1:])]
+    while found:
+        best = min(found)
+        if best is none or best[1] < 0:
+            break
+        k = found.index(best)
+        symbols[k: k + 2] = [best[1]]
+        del found[k]
+        if k < len(found):
+            found[k] = get((symbols[k], symbols[k + 1]), none)
+        if k:
+            found[k - 1] = get((symbols[k - 1], symbols[k]), none)
+    return symbols

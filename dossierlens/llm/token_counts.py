@@ -16,12 +16,12 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from dossierlens.llm.arrays import flat, pieces
-from dossierlens.llm.pair_index import merge_words
+from dossierlens.llm.pair_index import merge_word, merge_words
 from dossierlens.llm.vocabulary import Vocabulary, byte_letters, vocabulary
 
 # Fixed value: how byte-level vocabularies of this family cut a text into pre-tokens.
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-KEPT_WORDS, KEPT_LENGTH = 200_000, 40
+KEPT_WORDS, KEPT_LENGTH = 500_000, 40
 
 
 def whole_tokens(vocab: Vocabulary) -> frozenset:
@@ -49,8 +49,10 @@ class Counter(dict):
         self.vocab, self.whole, self.cut = vocab, whole, regex.compile(PRE_TOKENS)
 
     def __missing__(self, word: str) -> int:
-        count = len(merge_words([self.vocab.symbols(word)], self.vocab.merges)[0])
-        if len(word) <= KEPT_LENGTH:
+        symbols = self.vocab.symbols(word)
+        short = len(symbols) <= KEPT_LENGTH
+        count = len(merge_word(symbols, self.vocab.merges) if short else merge_words([symbols], self.vocab.merges)[0])
+        if short:
             if len(self) >= len(self.whole) + KEPT_WORDS:
                 self.clear()
                 self.update(dict.fromkeys(self.whole, 1))

@@ -7,7 +7,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from dossierlens.llm.bpe import Encoder, encode, encode_digests
-from dossierlens.llm.pair_index import merge_words
+from dossierlens.llm.pair_index import merge_word, merge_words
 from dossierlens.llm.token_counts import Counter, count_tokens, whole_tokens
 from dossierlens.llm.vocabulary import vocabulary
 
@@ -50,6 +50,7 @@ def test_merges_lowest_rank_first_in_any_order():
     # Rank 0 joins the product of rank 1, so it becomes active below the current rank.
     merges = {(9, 3): (0, 10), (1, 2): (1, 9), (3, 1): (2, 11)}
     assert merge_words([[1, 2, 3, 1, 2, 3], [], [3, 1, 2]], merges) == [[10, 10], [], [3, 9]]
+    assert merge_word([1, 2, 3, 1, 2, 3], merges) == [10, 10] and merge_word([], merges) == []
 
 
 @pytest.mark.parametrize("rows", [[], [(1, None, "x"), (1, None, "x"), (2, "", "y"), (3, "Hello world", None)]])
