@@ -8,10 +8,11 @@ from dossierlens.llm.language import op10_language_id
 from dossierlens.llm.near_duplicates import op8_near_duplicates
 from dossierlens.llm.nearest import op6_nearest
 from dossierlens.llm.secret_scan import op4_secret_scan
+from dossierlens.llm.suffix_dedup import op1_suffix_dedup
 from dossierlens.llm.token_counts import op3_token_counts
 from dossierlens.llm.url_filter import op9_url_filter
 
 QUERIES = {f.__name__: f for f in (
-    op2_chat_format, op3_token_counts, op4_secret_scan, op5_bpe, op6_nearest, op7_decontamination, op8_near_duplicates, op9_url_filter,
+    op1_suffix_dedup, op2_chat_format, op3_token_counts, op4_secret_scan, op5_bpe, op6_nearest, op7_decontamination, op8_near_duplicates, op9_url_filter,
     op10_language_id)}
 CHECKS = {"op2_chat_format": chat_format.ORACLE, "op9_url_filter": url_filter.ORACLE}
