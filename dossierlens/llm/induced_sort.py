@@ -19,6 +19,7 @@ import tempfile
 
 import numpy as np
 
+PASSES = 30  # words looked at before names are given; longer equal prefixes are left to the recursion
 CAP = 255  # common-prefix values are exact below this and stop here
 
 
@@ -218,41 +219,66 @@ def _both_sweeps(space, text, kinds, symbols, lms, values=None, runs=None):
     return up.queue, small, up.prefix, back
 
 
-def _names(text, lms, ordered):
-    """Name of each LMS substring by its rank; ``ordered`` are the LMS positions sorted by substring."""
-    place = np.empty(len(text), np.int32)
-    place[lms] = np.arange(len(lms))
-    ends = np.append(lms[1:], len(text) - 1)
-    length = (ends - lms)[place[ordered]]
-    differs = np.ones(len(ordered), bool)
-    differs[1:] = length[1:] != length[:-1]
-    open_ = np.flatnonzero(~differs)
-    step = 0
-    while len(open_):
-        same = text[ordered[open_] + step] == text[ordered[open_ - 1] + step]
-        differs[open_[~same]] = True
-        open_ = open_[same]
-        step += 1
-        open_ = open_[length[open_] >= step]
+def _words(text, symbols):
+    """As many symbols as fit into 63 bits from every position on; bits of a symbol and symbols of a word."""
+    bits = max(1, int(symbols - 1).bit_length())
+    width = 63 // bits
+    padded = np.concatenate([text, np.zeros(width, text.dtype)])
+    words = np.zeros(len(text) + 1, np.int64)
+    for k in range(width):
+        words[:-1] = (words[:-1] << bits) | padded[k: k + len(text)]
+    return words, bits, width
+
+
+def _ranked(text, symbols, lms, passes):
+    """LMS positions sorted by a prefix that holds their LMS substring, and the name (rank) of each by that prefix.
+
+    As many symbols as fit are packed into a word; a pass orders the positions that are still tied by their next word. At least
+    ``passes`` words are looked at, and more while a substring is longer, so equal names mean equal substrings.
+    """
+    words, bits, width = _words(text, symbols)
+    length = np.diff(np.append(lms, len(text) - 1)) + 1
+    order = np.argsort(words[lms], kind="stable")
+    key = words[lms[order]]
+    new = np.ones(len(lms), bool)
+    new[1:] = key[1:] != key[:-1]
+    slots, covered, done = np.arange(len(lms)), width, 1
+    while True:
+        tied = ~new
+        tied[:-1] |= ~new[1:]
+        if done >= passes:
+            group = np.cumsum(new) - 1
+            far = np.zeros(int(group[-1]) + 1 if len(group) else 0, bool)
+            far[group[tied & (length[order] > covered)]] = True
+            slots = np.flatnonzero(tied & far[group]) if len(far) else slots[:0]
+        else:
+            group = None
+            slots = np.flatnonzero(tied)
+        if not len(slots):
+            break
+        group = np.cumsum(new)[slots] if group is None else group[slots]
+        own = order[slots]
+        key = words[np.minimum(lms[own] + covered, len(text))]
+        again = np.lexsort((key, group))
+        order[slots], key = own[again], key[again]
+        new[slots[1:]] |= (key[1:] != key[:-1]) | (group[1:] != group[:-1])
+        covered += width
+        done += 1
     names = np.empty(len(lms), np.int32)
-    names[place[ordered]] = np.cumsum(differs) - 1
-    return names, int(differs.sum())
+    names[order] = np.cumsum(new) - 1
+    return order, names, int(new.sum()), covered
 
 
-def _sorted_lms(space, text, kinds, symbols):
-    """LMS positions in the order of their suffixes, by recursion."""
+def _sorted_lms(space, text, kinds, symbols, depth):
+    """LMS positions in the order of their suffixes, by recursion on the string of their names."""
     lms = np.flatnonzero(kinds[1:] & ~kinds[:-1]) + 1
-    rough = lms[np.argsort(text[lms], kind="stable")].astype(np.int32)
-    _, small, _, _ = _both_sweeps(space, text, kinds, symbols, rough)
-    is_lms = np.zeros(len(text), bool)
-    is_lms[lms] = True
-    ordered = small[is_lms[small]]
-    names, count = _names(text, lms, ordered)
-    if count == len(lms):
-        return ordered
-    inner = _sorted_lms(space, names, types(names), count)
-    up, small, _, _ = _both_sweeps(space, names, types(names), count, inner)
-    return lms[_woven(names, up, small)].astype(np.int32)
+    order, names, count, covered = _ranked(text, symbols, lms, PASSES)
+    if count == len(lms) or covered >= depth:
+        return lms[order].astype(np.int32)
+    inner_kinds = types(names)
+    inner = _sorted_lms(space, names, inner_kinds, count, len(names))
+    large, small, _, _ = _both_sweeps(space, names, inner_kinds, count, inner)
+    return lms[_woven(names, large, small)].astype(np.int32)
 
 
 def _woven(text, large, small):
@@ -263,31 +289,36 @@ def _woven(text, large, small):
     return both[np.argsort(key, kind="stable")]
 
 
-def _common(text, left, right):
-    """Common prefix of suffix pairs, up to CAP, symbol by symbol over the pairs still equal."""
-    out = np.zeros(len(left), np.uint8)
+def _common(text, symbols, left, right):
+    """Common prefix of suffix pairs, up to CAP, word by word over the pairs still equal."""
+    words, bits, width = _words(text, symbols)
+    out = np.full(len(left), CAP, np.int32)
     open_, step = np.arange(len(left)), 0
     while len(open_) and step < CAP:
-        a, b = left[open_] + step, right[open_] + step
-        ok = (a < len(text)) & (b < len(text))
-        ok[ok] = text[a[ok]] == text[b[ok]]
-        open_ = open_[ok]
-        step += 1
-        out[open_] = step
-    return out
-
-
-def suffix_array(text: np.ndarray, symbols: int, memory: int = 1 << 23):
+        other = words[np.minimum(left[open_] + step, len(text))] ^ words[np.minimum(right[open_] + step, len(text))]
+        ended = other != 0
+        at, other = open_[ended], other[ended]
+        equal = np.zeros(len(at), np.int32)
+        for k in range(1, width):
+            equal += other >> (bits * (width - k)) == 0
+        out[at] = step + equal
+        open_ = open_[~ended]
+        step += width
+    return np.minimum(out, CAP).astype(np.uint8)
+
+
+def suffix_array(text: np.ndarray, symbols: int, memory: int = 1 << 23, depth: int = None):
     """Suffix positions in order and the common prefix (up to CAP) of each with the one before.
 
-    ``text`` holds values below ``symbols`` and ends with a 0 that occurs nowhere else.
+    ``text`` holds values below ``symbols`` and ends with a 0 that occurs nowhere else. With ``depth``, suffixes need to be
+    ordered by that many symbols only: where names reach so far, there is no recursion.
     """
     space = Space(memory)
     try:
         kinds = types(text)
-        lms = _sorted_lms(space, text, kinds, symbols)
+        lms = _sorted_lms(space, text, kinds, symbols, depth or len(text))
         values = np.zeros(len(lms), np.uint8)
-        values[1:] = _common(text, lms[1:].astype(np.int64), lms[:-1].astype(np.int64))
+        values[1:] = _common(text, symbols, lms[1:].astype(np.int64), lms[:-1].astype(np.int64))
         turns = np.append(np.flatnonzero(text[:-1] != text[1:]), len(text) - 1)
         runs = np.repeat(turns, np.diff(turns, prepend=-1)) + 1 - np.arange(len(text))
         large, small, large_values, small_values = _both_sweeps(space, text, kinds, symbols, lms, values, runs)

@@ -5,7 +5,7 @@ owner gram at the same place, so strings of different owners never need to be co
 
 1. Owner grams are counted; those that occur once own no repeated string. Runs of strings with one owner are one segment.
    Equal segments are one class with a count: where it is two or more, all strings of the segment repeat.
-2. Classes that share their owner with another class go, once each, to the shard of the owner. A shard is one partition;
+2. Classes that share their owner with another class, one of them occurring once, go, once each, to the shard of the owner. A shard is one partition;
    ``induced_sort`` sorts its suffixes with their common prefixes, in files once the shard exceeds the memory limit. A string
    repeats if its suffix has a common prefix of ``length`` or more with a neighbour. Owners with very many classes are
    split by the place of the owner in the string, and beyond that by the string, which keeps equal strings together.
@@ -82,7 +82,7 @@ def _repeated(segments: list, length: int) -> list:
     text = joined.astype(np.int32)
     text += 2
     text[ends - 1], text[-1] = 1, 0
-    order, prefix = suffix_array(text, 258, MEMORY)
+    order, prefix = suffix_array(text, 258, MEMORY, length)
     near = prefix >= length
     near[:-1] |= near[1:]
     hit = np.zeros(len(text) + 1, bool)
@@ -139,7 +139,9 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, gr
     classes = (segments.groupBy("h", "s").agg(F.sum(F.size("los")).alias("times"), F.first("key").alias("key"),
                                               F.first(F.col("los")[0]).alias("lo"), F.first("n").alias("n")))
     classes = stage(classes, "classes")
-    crowds = classes.groupBy("h").agg(F.count("*").alias("of_owner"), F.sum(F.col("n") + length).alias("bytes")).where("of_owner > 1")
+    # Owners of which every segment occurs twice or more are settled.
+    crowds = (classes.groupBy("h").agg(F.count("*").alias("of_owner"), F.min("times").alias("fewest"), F.sum(F.col("n") + length).alias("bytes"))
+              .where("of_owner > 1 and fewest = 1").drop("fewest"))
     compared = stage(classes.join(crowds, "h"), "compared")
     total = compared.agg(F.sum(F.col("n") + length)).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
