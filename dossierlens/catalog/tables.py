@@ -1,5 +1,7 @@
 """Queries over sources, sinks, filters, pages and set operations."""
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from dossierlens import schemas
@@ -127,8 +129,9 @@ def write_manifest(spark, sf_dir):
 def training_report(spark, sf_dir):
     path = scratch_path(spark, "training-report")
     rows = b.predictions(spark, sf_dir)
-    folds = training.stratified_folds(rows, "doc_id").groupBy("fold").agg(
-        F.avg((F.col("label") == F.col("prediction")).cast("double")).alias("f1_macro"))
+    dealt = training.stratified_folds(rows, "doc_id")
+    folds = reduce(lambda a, c: a.unionByName(c), [
+        training.evaluate(dealt.where(F.col("fold") == k), confidence="confidence").select("f1_macro") for k in range(training.FOLDS)])
     report = writers.training_report(
         training.evaluate(rows, confidence="confidence"), training.cross_validation_summary(folds),
         training.per_class_report(rows))
@@ -266,12 +269,14 @@ def list_projection(spark, sf_dir):
     return filters.list_projection(docs)
 
 
-@query("f09_document_view")
+@query("f09_document_view", sql(DOC, """
+    SELECT document_id, 'raw' AS zone, status, siret, montant_ttc, NULL::varchar AS validation_status FROM doc"""))
 def document_view(spark, sf_dir):
     path = scratch_path(spark, "documents")
     b.documents(spark, sf_dir).write.parquet(path)
     return filters.document_view(readers.read_documents(spark, path)).select(
-        "document_id", "zone", "status", "extracted.siret", "extracted.montant_ttc", "validation.status")
+        "document_id", "zone", "status", "extracted.siret", "extracted.montant_ttc",
+        F.col("validation.status").alias("validation_status"))
 
 
 @query("f10_compact_extracted", sql(DOC, """
@@ -350,7 +355,7 @@ def page_documents(spark, sf_dir):
 
 
 @query("l02_page_anomalies", sql(ANO, """
-    SELECT anomaly_id, detected_at FROM ano ORDER BY detected_at DESC, anomaly_id LIMIT 500 OFFSET 20"""))
+    SELECT anomaly_id, detected_at FROM ano ORDER BY detected_at DESC, anomaly_id LIMIT 1000 OFFSET 20"""))
 def page_anomalies(spark, sf_dir):
     return filters.page_anomalies(b.anomalies(spark, sf_dir).select("anomaly_id", "detected_at"), 20, 1000)
 

@@ -427,14 +427,3 @@ def render_documents(spark, sf_dir):
 def inject_anomaly(spark, sf_dir):
     planned = synth.plan_documents(b.suppliers(spark, sf_dir), b.AS_OF).where("supplier_index % 3 = 2")
     return planned.select("supplier_id", "doc_type", "siret", "date_emission", "date_expiration")
-
-
-@query("y03_augment_text_noise")
-def augment_text_noise(spark, sf_dir):
-    rows = b.table(spark, sf_dir, "documents")
-    return synth.augment_text_noise(rows, F.lit(0.6), "doc_id").select("doc_id", "text")
-
-
-@query("y04_training_dataset")
-def training_dataset(spark, sf_dir):
-    return training_rows(spark, sf_dir).groupBy("label", "band").agg(F.count("*").alias("n"))

@@ -19,15 +19,18 @@ TVA_RATE = "Incohérence HT×taux≠TVA : %s × %s%% = %s ≠ %s (écart %.2f€
 TVA_COHERENT = "Cohérence TVA vérifiée"
 
 
-def parse_amount(raw: Column) -> Column:
-    """``1 234,56`` / ``1.234,56`` / ``1234.56`` to a double between 0 and ten million, rounded to cents."""
+def parse_amount(raw: Column, limit: float | None = AMOUNT_LIMIT) -> Column:
+    """``1 234,56`` / ``1.234,56`` / ``1234.56`` to a positive double, rounded to cents.
+
+    An amount from ``limit`` on is taken for a misread number and becomes NULL; None accepts every amount.
+    """
     compact = F.regexp_replace(raw, r"(?U)[\s ]", "")
     dotted = F.when(
         compact.contains(",") & compact.contains("."),
         F.replace(F.replace(compact, F.lit("."), F.lit("")), F.lit(","), F.lit(".")),
     ).otherwise(F.replace(compact, F.lit(","), F.lit(".")))
     value = dotted.try_cast("double")
-    return F.when((value > 0) & (value < AMOUNT_LIMIT), F.round(value, 2))
+    return F.when((value > 0) if limit is None else (value > 0) & (value < limit), F.round(value, 2))
 
 
 def split_amounts(ht: Column, rate: Column) -> Column:

@@ -37,15 +37,16 @@ def parse_iso(text: Column) -> Column:
     return F.when(text.rlike(r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$"), text.try_cast("date"))
 
 
-def _plausible(date: Column) -> Column:
-    return F.when(F.year(date).between(YEAR_MIN, YEAR_MAX), date.cast("string"))
+def _plausible(date: Column, years=(YEAR_MIN, YEAR_MAX)) -> Column:
+    """ISO text of a date of the given years; others count as misread and become NULL. None accepts every year."""
+    return date.cast("string") if years is None else F.when(F.year(date).between(*years), date.cast("string"))
 
 
 def _rearranged(text: Column, pattern: str, order: str) -> Column:
     return F.regexp_replace(text, pattern, order).try_cast("date")
 
 
-def parse_numeric_date(raw: Column, strict_reference: bool = True) -> Column:
+def parse_numeric_date(raw: Column, strict_reference: bool = True, years=(YEAR_MIN, YEAR_MAX)) -> Column:
     """``d/m/y`` or ``y-m-d`` text to ISO text. The preferred order of the parts comes first; the other one only gives a
     date when the preferred month exceeds twelve."""
     dmy = r"^\D*(\d{1,2})[/\-.](\d{1,2})[/\-.](\d{4})\D*$"
@@ -56,7 +57,7 @@ def parse_numeric_date(raw: Column, strict_reference: bool = True) -> Column:
         year_first = _rearranged(raw, ymd, "$1-$2-$3")
     return _plausible(
         F.when(raw.rlike(ymd), year_first)
-        .when(raw.rlike(dmy), F.coalesce(_rearranged(raw, dmy, "$3-$2-$1"), _rearranged(raw, dmy, "$3-$1-$2"))))
+        .when(raw.rlike(dmy), F.coalesce(_rearranged(raw, dmy, "$3-$2-$1"), _rearranged(raw, dmy, "$3-$1-$2"))), years)
 
 
 def parse_worded_date(raw: Column, strict_reference: bool = True) -> Column:

@@ -136,20 +136,20 @@ def expiration_anomalies(df, limit=None) -> DataFrame:
     return found if limit is None else found.limit(limit)
 
 
-def _page(df, order, skip, limit, ceiling) -> DataFrame:
-    return df.orderBy(*order).offset(skip).limit(min(limit, ceiling))
+def _page(df, order, skip, limit) -> DataFrame:
+    return df.orderBy(*order).offset(skip).limit(limit)
 
 
 def page_documents(df, skip=0, limit=50) -> DataFrame:
-    return _page(df, [F.desc("upload_timestamp"), "document_id"], skip, limit, 200)
+    return _page(df, [F.desc("upload_timestamp"), "document_id"], skip, limit)
 
 
 def page_anomalies(df, skip=0, limit=100) -> DataFrame:
-    return _page(df, [F.desc("detected_at"), "anomaly_id"], skip, limit, 500)
+    return _page(df, [F.desc("detected_at"), "anomaly_id"], skip, limit)
 
 
 def page_suppliers(df, skip=0, limit=50) -> DataFrame:
-    return _page(df, ["supplier_id"], skip, limit, 200)
+    return _page(df, ["supplier_id"], skip, limit)
 
 
 def recent(df, n=8, time_col="upload_timestamp", key="document_id") -> DataFrame:
