@@ -61,7 +61,7 @@ def _segments(turns: Column, template: Template) -> Column:
 
 def format_chats(turns: DataFrame, template: Template = CHAT, conv_id: str = "conv_id", turn: str = "turn", role: str = "role",
                  text: str = "text") -> DataFrame:
-    """conv_id, n_turns, formatted, segments (text, loss), state, valid, first_wrong_turn (from 1; null if none)."""
+    """conv_id, n_turns, formatted, segments (text, loss), state (empty after a wrong turn), valid, first_wrong_turn (from 1; null if none)."""
     row = F.struct(F.col(turn).alias("turn"), F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
     stretch = F.coalesce(F.floor(F.col(turn) / STRETCH), F.lit(-(1 << 62))).cast("long").alias("stretch")
     stretches = (turns.select(F.col(conv_id).alias("conv_id"), stretch, row.alias("row"))
@@ -74,15 +74,16 @@ def format_chats(turns: DataFrame, template: Template = CHAT, conv_id: str = "co
     moves = [(f"{state}\n{on}", to) for state, ways in template.order.items() for on, to in ways.items()]
     table = F.map_from_arrays(F.array(*[F.lit(k) for k, _ in moves]), F.array(*[F.lit(v) for _, v in moves]))
     begin = F.struct(F.lit(template.start).alias("state"), F.lit(0).alias("read"))
-    # Once no transition fits, the state is null and the count of accepted turns stays.
-    run = F.aggregate("roles", begin, lambda a, r: F.struct(
-        F.try_element_at(table, F.concat(a["state"], F.lit("\n"), r)).alias("state"),
-        (a["read"] + F.try_element_at(table, F.concat(a["state"], F.lit("\n"), r)).isNotNull().cast("int")).alias("read")))
+    # Once no transition fits, the state is empty, which has no transitions, and the count of accepted turns stays.
+    def step(acc, role_):
+        to = F.coalesce(F.try_element_at(table, F.concat(acc["state"], F.lit("\n"), role_)), F.lit(""))
+        return F.struct(to.alias("state"), (acc["read"] + (to != "").cast("int")).alias("read"))
+    run = F.aggregate("roles", begin, step)
     return (whole.withColumn("run", run)
             .select("conv_id", F.size("roles").cast("long").alias("n_turns"),
                     F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"), "segments", F.col("run.state").alias("state"),
-                    F.coalesce(F.col("run.state").isin(list(template.complete)), F.lit(False)).alias("valid"),
-                    F.when(F.col("run.state").isNull(), F.col("run.read") + 1).alias("first_wrong_turn")))
+                    F.col("run.state").isin(list(template.complete)).alias("valid"),
+                    F.when(F.col("run.state") == "", F.col("run.read") + 1).alias("first_wrong_turn")))
 
 
 def parse(formatted: Column, template: Template = CHAT) -> Column:
