@@ -213,11 +213,16 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, gr
                 spans, rest = [], []
                 for k, own in enumerate(runs):
                     body = bodies[starts[k]: starts[k + 1]]
-                    depth = np.zeros(len(body) + 1, np.int64)
-                    for run in own or ():
-                        los = np.asarray(run["los"])[:, None]
-                        np.add.at(depth, (los + np.asarray(run["begins"])).ravel(), 1)
-                        np.add.at(depth, (los + np.asarray(run["ends"]) + length - 1).ravel(), -1)
+                    if not own:
+                        spans.append([])
+                        rest.append(body.tobytes())
+                        continue
+                    up, down = [], []
+                    for run in own:
+                        for lo in run["los"]:
+                            up += [lo + at for at in run["begins"]]
+                            down += [lo + at + length - 1 for at in run["ends"]]
+                    depth = np.bincount(up, minlength=len(body) + 1) - np.bincount(down, minlength=len(body) + 1)
                     gone = np.cumsum(depth)[:-1] > 0
                     edge = np.diff(np.concatenate([[0], gone, [0]]).astype(np.int8))
                     spans.append([{"start": a, "end": b} for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist())])
