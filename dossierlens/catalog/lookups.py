@@ -3,9 +3,9 @@
 from pyspark.sql import functions as F
 
 from dossierlens.catalog import bindings as b
-from dossierlens.catalog.reference_sql import ANO, DOC, EVT, MISMATCH, PAGE, SUP, sql
+from dossierlens.catalog.reference_sql import ANO, DOC, EVT, JUDGED, MISMATCH, PAGE, SUP, sql
 from dossierlens.catalog.registry import query
-from dossierlens.functions import text as tx
+from dossierlens.functions import identifiers, text as tx
 from dossierlens.operators import aggregates, classify, filters, joins, ocr, siblings, training
 
 PAIR_COLUMNS = ["document_id", "supplier_id", "siret", "sibling_document_id", "sibling_siret"]
@@ -21,12 +21,19 @@ BUCKET = ("CASE WHEN details_date IS NULL THEN 'warning' WHEN {d} < 0 THEN 'expi
 
 @query("j01_sibling_siret_mismatch", sql(DOC, MISMATCH, "SELECT * FROM mis"))
 def sibling_siret_mismatch(spark, sf_dir):
-    return siblings.sibling_siret_mismatch(b.documents(spark, sf_dir)).select(*PAIR_COLUMNS)
+    return siblings.sibling_siret_mismatch(b.documents(spark, sf_dir)).select(
+        "document_id", "supplier_id", "siret", "n_mismatch", "n_other_sirets", "related_document_id")
 
 
-@query("j01_mismatch_counts", sql(DOC, MISMATCH, """
-    SELECT supplier_id, siret, cast(count(DISTINCT sibling_document_id) AS bigint) AS n_mismatch
-    FROM mis GROUP BY supplier_id, siret"""))
+@query("j01_sibling_pairs", sql(DOC, JUDGED, MISMATCH, """
+    SELECT pairs.* FROM pairs JOIN judged USING (document_id) WHERE NOT siret_ok"""))
+def sibling_pairs(spark, sf_dir):
+    """The siblings of every document whose SIRET is wrong in itself."""
+    docs = b.documents(spark, sf_dir)
+    return siblings.sibling_pairs(docs, docs.where(~identifiers.siret_luhn(F.col("extracted.siret")))).select(*PAIR_COLUMNS)
+
+
+@query("j01_mismatch_counts", sql(DOC, MISMATCH, "SELECT DISTINCT supplier_id, siret, n_mismatch FROM mis"))
 def mismatch_counts(spark, sf_dir):
     docs = b.documents(spark, sf_dir)
     compared = siblings.comparable(docs).where("compared").select("supplier_id", "siret")

@@ -151,10 +151,14 @@ j AS (
   FROM judged)"""
 
 MISMATCH = """
-mis AS (
+pairs AS (
   SELECT a.document_id, a.supplier_id, a.siret, b.document_id AS sibling_document_id, b.siret AS sibling_siret
   FROM doc a JOIN doc b ON a.supplier_id = b.supplier_id AND a.document_id <> b.document_id AND a.siret <> b.siret
-  WHERE a.doc_type <> 'DEVIS' AND b.status IN ('extracted', 'validated', 'processed'))"""
+  WHERE a.doc_type <> 'DEVIS' AND b.status IN ('extracted', 'validated', 'processed')),
+mis AS (
+  SELECT document_id, supplier_id, siret, cast(count(*) AS bigint) AS n_mismatch,
+    cast(count(DISTINCT sibling_siret) AS bigint) AS n_other_sirets, min(sibling_document_id) AS related_document_id
+  FROM pairs GROUP BY document_id, supplier_id, siret)"""
 
 LOCAL_CHECKS = """
 local_chk AS (

@@ -1,5 +1,7 @@
 """Queries that run a stream to its end and read the result."""
 
+from pyspark.sql import functions as F
+
 from dossierlens.catalog import bindings as b
 from dossierlens.catalog.reference_sql import ANO, DOC, EVT, MISMATCH, READ_BACK, sql
 from dossierlens.catalog.registry import query
@@ -60,7 +62,7 @@ def stream_dedupe(spark, sf_dir):
 
 
 @query("t05_stream_sibling_check", sql(DOC, MISMATCH, """
-    SELECT document_id, sibling_document_id AS related_document_id FROM mis"""))
+    SELECT document_id, related_document_id, n_mismatch FROM mis"""))
 def stream_sibling_check(spark, sf_dir):
     silver, findings = scratch_path(spark, "silver"), scratch_path(spark, "sibling-findings")
     docs = b.documents(spark, sf_dir).select(
@@ -68,7 +70,8 @@ def stream_sibling_check(spark, sf_dir):
     stream = _landing(docs, spark, "sibling-input", 3)
     jobs.stream_sibling_check(
         stream, silver, findings, scratch_path(spark, "sibling-checkpoint"), b.AS_OF).awaitTermination()
-    return spark.read.option("basePath", findings).parquet(findings).select("document_id", "related_document_id")
+    return jobs.snapshot(spark, findings, ["document_id"]).select(
+        "document_id", "related_document_id", F.col("details")["siblings"].cast("bigint").alias("n_mismatch"))
 
 
 @query("t07_stream_status_latest", sql(EVT, """

@@ -9,7 +9,7 @@ from dossierlens.catalog import bindings as b
 from dossierlens.catalog.reference_sql import DOC, PRED, READ_BACK, READ_BACK_RULES, RULES, SUP, sql
 from dossierlens.catalog.registry import query
 from dossierlens.functions import text as tx
-from dossierlens.operators import aggregates, classify, extraction, joins, rules, synth, training, validation
+from dossierlens.operators import aggregates, classify, extraction, joins, rules, siblings, synth, training, validation
 from dossierlens.plans.processing import dead_letter, process_documents
 from dossierlens.sources.writers import curated_record
 from dossierlens.storage import scratch_path, stage
@@ -116,9 +116,11 @@ def judged(spark, sf_dir):
 
 def _type_rules(doc_type):
     def plan(spark, sf_dir):
-        docs = judged(spark, sf_dir)
-        rows = _rule_rows(validation.validate_documents(docs, b.AS_OF))
-        return rows.join(docs.where(F.col("doc_type") == doc_type).select("document_id"), "document_id", "left_semi")
+        """Only the documents of the type are judged; the others are seen as their siblings."""
+        docs, own = b.documents(spark, sf_dir), F.col("doc_type") == doc_type
+        local = stage(rules.apply_local_rules(b.documents(spark, sf_dir, spread_rows=True).where(own), b.AS_OF), "judged")
+        compared = [t for t in siblings.TYPES_COMPARED if t == doc_type]
+        return _rule_rows(validation.validate_documents(local, b.AS_OF, stored=docs.where(~own), types=compared))
     return plan
 
 
@@ -203,15 +205,45 @@ def process(spark, sf_dir):
     return _compliance(spark, sf_dir, stage(done.anomalies.select("supplier_id", "severity", "resolved"), "findings"))
 
 
-@query("p01_process_documents_statuses", sql(*READ_BACK_RULES, """
+STATUSES_SQL = """
     SELECT doc.document_id, doc.doc_type, 'processed' AS status,
       CASE WHEN count(CASE WHEN chk.status = 'error' THEN 1 END) > 0 THEN 'error'
         WHEN count(CASE WHEN chk.status = 'warning' THEN 1 END) > 0 THEN 'warning' ELSE 'ok' END AS validation_status
-    FROM doc LEFT JOIN chk USING (document_id) GROUP BY doc.document_id, doc.doc_type"""))
+    FROM doc LEFT JOIN chk USING (document_id) GROUP BY doc.document_id, doc.doc_type"""
+
+
+def _statuses(documents):
+    return documents.select("document_id", "doc_type", "status", F.col("validation.status").alias("validation_status"))
+
+
+@query("p01_process_documents_statuses", sql(*READ_BACK_RULES, STATUSES_SQL))
 def process_statuses(spark, sf_dir):
     done = process_documents(rendered(spark, sf_dir), b.suppliers(spark, sf_dir), b.AS_OF)
-    return done.documents.select(
-        "document_id", "doc_type", "status", F.col("validation.status").alias("validation_status"))
+    return _statuses(done.documents)
+
+
+@query("p01_two_runs_statuses", sql(*READ_BACK_RULES, STATUSES_SQL))
+def process_statuses_in_two_runs(spark, sf_dir):
+    """The documents arrive in two runs; afterwards every document stands as after one run."""
+    _, first, second = _two_runs(spark, sf_dir)
+    untouched = first.join(second.restated.select("document_id"), "document_id", "left_anti")
+    return _statuses(second.documents).unionByName(_statuses(second.restated)).unionByName(_statuses(untouched))
+
+
+@query("p01_two_runs", sql(SUP, *READ_BACK_RULES, COMPLIANCE_SQL))
+def process_in_two_runs(spark, sf_dir):
+    _, _, second = _two_runs(spark, sf_dir)
+    return _compliance(spark, sf_dir, stage(second.anomalies.select("supplier_id", "severity", "resolved"), "findings"))
+
+
+def _two_runs(spark, sf_dir):
+    """Anomalies and documents after the first run, and the result of the second."""
+    docs, suppliers = rendered(spark, sf_dir), b.suppliers(spark, sf_dir)
+    late = F.pmod(F.xxhash64("document_id"), F.lit(2)) == 1
+    first = process_documents(docs.where(~late), suppliers, b.AS_OF)
+    anomalies, documents = stage(first.anomalies, "anomalies"), stage(first.documents, "documents")
+    return anomalies, documents, process_documents(
+        docs.where(late), suppliers, b.AS_OF, anomalies_so_far=anomalies, documents_so_far=documents)
 
 
 @query("p02_curated_record", sql(READ_BACK, """

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from dossierlens.operators import aggregates, siblings, validation
 from dossierlens.plans.processing import dead_letter, understand
 
+SILVER_BUCKETS = 32
+
 
 def file_stream(spark: SparkSession, path: str, schema, name_filter: str = None, max_files: int = None) -> DataFrame:
     reader = spark.readStream.schema(schema).format("parquet")
@@ -83,17 +85,21 @@ def stream_sibling_check(documents: DataFrame, silver: str, findings: str, check
                          interval: str = None):
     """Compare each micro-batch with the documents stored so far and with itself.
 
-    Only mismatches that involve a new document are written. A stored document meets a new one when the new one arrives,
-    so the union over all batches equals the batch result. Stored documents are first cut to the suppliers of the batch.
+    A batch writes the findings of its documents and restates those of stored documents that it conflicts with, so the
+    newest finding per document (``snapshot``) equals the batch result. Stored documents lie in buckets of their supplier:
+    only the buckets of the batch are read, and of those only its suppliers.
     """
     def check(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{silver}/batch={batch_id}")
+        bucket = F.pmod(F.xxhash64("supplier_id"), F.lit(SILVER_BUCKETS)).cast("int")
+        batch.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{silver}/batch={batch_id}")
         stored = spark.read.option("basePath", silver).parquet(silver)
-        touched = stored.where(F.col("batch") == batch_id).select("supplier_id").distinct()
-        known = stored.where(F.col("batch") <= batch_id).join(touched, "supplier_id", "left_semi")
-        pairs = siblings.new_sibling_mismatch(known, F.col("batch") == batch_id)
-        rows = validation.stamp_anomalies(validation.mismatch_findings(pairs), as_of)
+        is_new = F.col("batch") == batch_id
+        buckets = [r.bucket for r in stored.where(is_new).select("bucket").distinct().collect()]  # SILVER_BUCKETS at most
+        known = stored.where((F.col("batch") <= batch_id) & F.col("bucket").isin(buckets)).join(
+            stored.where(is_new).select("supplier_id").distinct(), "supplier_id", "left_semi")
+        found = siblings.sibling_siret_mismatch(known.where(is_new), stored=known.where(~is_new))
+        rows = validation.stamp_anomalies(validation.mismatch_findings(found), as_of)
         rows.write.mode("overwrite").parquet(f"{findings}/batch={batch_id}")
 
     writer = documents.writeStream.option("checkpointLocation", checkpoint).foreachBatch(check)

@@ -31,22 +31,41 @@ def brute_force(df):
         and a.extracted.siret != c.extracted.siret)
 
 
-def test_sibling_pairs_in_small_cells(spark):
+def findings(pairs):
+    """Per document: number of differing siblings and SIRETs, smallest sibling."""
+    out = {}
+    for document, sibling, _, siret in pairs:
+        out.setdefault(document, []).append((sibling, siret))
+    return {d: (len(v), len({s for _, s in v}), min(v)[0]) for d, v in out.items()}
+
+
+def found(df):
+    return {r.document_id: (r.n_mismatch, r.n_other_sirets, r.related_document_id) for r in df.collect()}
+
+
+def test_one_finding_per_document(spark):
     docs = hot_documents(spark)
     want = brute_force(docs)
-    for cell_rows, salts in ((2048, 32), (7, 3), (1, 1)):
-        rows = siblings.sibling_siret_mismatch(docs, cell_rows=cell_rows, salts=salts).select(*PAIR_COLUMNS).collect()
-        assert sorted(tuple(r) for r in rows) == want
+    rows = siblings.sibling_siret_mismatch(docs)
+    assert found(rows) == findings(want) and rows.count() == len(findings(want))
+    pairs = siblings.sibling_pairs(docs, docs).select(*PAIR_COLUMNS).collect()
+    assert sorted(tuple(r) for r in pairs) == want
+    listed = siblings.sibling_pairs(docs, docs.where("document_id = 'd0'")).select(*PAIR_COLUMNS).collect()
+    assert sorted(tuple(r) for r in listed) == [p for p in want if p[0] == "d0"]
     counts = {(r.supplier_id, r.siret): r.n_mismatch for r in siblings.mismatch_counts(docs).collect()}
     assert sum(1 for a in want if a[0] == want[0][0]) == counts[("hot", want[0][2])]
+    assert siblings.sibling_siret_mismatch(docs.where("false")).count() == 0
 
 
-def test_new_pairs_complete_the_old_ones(spark):
+def test_stored_documents_are_restated(spark):
     docs = hot_documents(spark)
-    first = docs.where("cast(substr(document_id, 2) as int) < 200")
-    is_new = F.expr("cast(substr(document_id, 2) as int) >= 200")
-    rows = siblings.sibling_siret_mismatch(first).unionByName(siblings.new_sibling_mismatch(docs, is_new))
-    assert sorted(tuple(r) for r in rows.select(*PAIR_COLUMNS).collect()) == brute_force(docs)
+    is_new = "cast(substr(document_id, 2) as int) >= 200"
+    first, second = docs.where(f"not {is_new}"), docs.where(is_new)
+    rows = siblings.sibling_siret_mismatch(second, stored=first)
+    assert found(siblings.sibling_siret_mismatch(first)) | found(rows) == findings(brute_force(docs))
+    before = findings(brute_force(first))
+    stale = {d for d, f in findings(brute_force(docs)).items() if int(d[1:]) < 200 and before.get(d) != f}
+    assert {r.document_id for r in rows.where("not fresh").collect()} == stale
 
 
 def test_ranks(spark):
@@ -113,6 +132,11 @@ def test_replay_gives_the_same_anomalies(spark):
     assert kinds == [("d1", "MISSING_FIELD"), ("d1", "MISSING_FIELD"), ("d1", "SIRET_MISMATCH"),
                      ("d2", "KBIS_EXPIRED"), ("d2", "SIRET_MISMATCH")]
     assert [r.compliance_status for r in second.suppliers.collect()] == ["non_compliant"]
+    early = process_documents(raw.where("document_id = 'd1'"), suppliers, as_of)
+    late = process_documents(raw.where("document_id = 'd2'"), suppliers, as_of, anomalies_so_far=early.anomalies,
+                             documents_so_far=early.documents)
+    assert sorted(r.anomaly_id for r in late.anomalies.collect()) == ids
+    assert [(r.document_id, r.validation.checks[-1].rule) for r in late.restated.collect()] == [("d1", "siret_consistency")]
     nested = {r.document_id: r.validation for r in first.documents.collect()}
     assert nested["d1"].status == "error" and "siret_consistency" in [c.rule for c in nested["d2"].checks]
 
