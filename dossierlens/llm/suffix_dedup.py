@@ -30,7 +30,9 @@ from dossierlens.llm.induced_sort import CAP, suffix_array
 from dossierlens.storage import stage
 
 LENGTH, GRAM = 200, 32
-SHARD_BYTES = 8_000_000
+SHARD_BYTES = 4_000_000
+# Texts are taken in slices of this size: the hashes of a slice take about a hundred times its bytes.
+SLICE_BYTES = 500_000
 MEMORY = 1 << 24
 SIEVE_BITS = 1 << 26
 OWNED = "h long, s long, key long, n int, los array<long>"
@@ -108,7 +110,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, gr
 
     def counted(batches):
         for batch in batches:
-            for piece in pieces(batch, "text"):
+            for piece in pieces(batch, "text", SLICE_BYTES):
                 _, h, _, _, _ = owners(*flat(piece.column("text")), length, gram)
                 value, n = np.unique(h, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(value), pa.array(n)], names=["h", "n"])
@@ -118,7 +120,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, gr
 
     def owned(batches):
         for batch in batches:
-            for piece in pieces(batch, "text"):
+            for piece in pieces(batch, "text", SLICE_BYTES):
                 data, starts = flat(piece.column("text"))
                 raw, keys = data.tobytes(), np.asarray(piece.column("key"))
                 of, h, lo, n, _ = owners(data, starts, length, gram)
