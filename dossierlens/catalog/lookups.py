@@ -59,10 +59,9 @@ def require_supplier(spark, sf_dir):
 
 @query("j04_with_document_count", sql(SUP, DOC, """
     SELECT supplier_id, (SELECT cast(count(*) AS bigint) FROM doc
-      WHERE doc.supplier_id = sup.supplier_id AND doc.doc_type = 'KBIS') AS document_count FROM sup"""))
+      WHERE doc.supplier_id = sup.supplier_id) AS document_count FROM sup"""))
 def with_document_count(spark, sf_dir):
-    docs = b.documents(spark, sf_dir).where("doc_type = 'KBIS'")
-    return joins.with_document_count(b.suppliers(spark, sf_dir), docs).select("supplier_id", "document_count")
+    return joins.with_document_count(b.suppliers(spark, sf_dir), b.documents(spark, sf_dir)).select("supplier_id", "document_count")
 
 
 @query("j05_lookup_band", """
