@@ -49,8 +49,7 @@ _field("e02_extract_siren", "siren",
        lambda d: d.withColumn("siret", extraction.extract_siret(F.col("body"))).select(
            "document_id", extraction.extract_siren(F.col("body"), F.col("siret")).alias("siren")))
 _field("e03_extract_tva_number", "tva_number",
-       lambda d: d.select("document_id", extraction.extract_tva_number(F.col("body")).alias("tva_number")),
-       "FACTURE", "DEVIS", "KBIS")
+       lambda d: d.select("document_id", extraction.extract_tva_number(F.col("body")).alias("tva_number")))
 _field("e07_extract_number", "numero_document",
        lambda d: d.select("document_id", extraction.extract_number(
            F.col("body"), F.col("doc_type")).alias("numero_document")), "FACTURE", "DEVIS")
