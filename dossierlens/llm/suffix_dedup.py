@@ -5,10 +5,11 @@ owner gram at the same place, so strings of different owners never need to be co
 
 1. Owner grams are counted; those that occur once own no repeated string. Runs of strings with one owner are one segment.
    Equal segments are one class with a count: where it is two or more, all strings of the segment repeat.
-2. Classes that share their owner with another class, one of them occurring once, go, once each, to the shard of the owner. A shard is one partition;
-   ``induced_sort`` sorts its suffixes with their common prefixes, in files once the shard exceeds the memory limit. A string
-   repeats if its suffix has a common prefix of ``length`` or more with a neighbour. Owners with very many classes are
-   split by the place of the owner in the string, and beyond that by the string, which keeps equal strings together.
+2. Classes that share their owner with another class, one of them occurring once, go, once each, to the partition of the owner.
+   There they come in the order of their owners and are cut into shards of whole owners; ``induced_sort`` sorts the suffixes of
+   a shard with their common prefixes, in files once the shard exceeds the memory limit. A string repeats if its suffix has a
+   common prefix of ``length`` or more with a neighbour. Owners with more than a shard of classes are split by the place of
+   the owner in the string, and beyond that by the string, which keeps equal strings together.
 3. The repeated strings of a segment hold at all its places; covered bytes are cut out per text.
 
 Fixed-size bit tables (``SIEVE_BITS``) built from owners and from documents keep most rows that cannot match out of the
@@ -21,6 +22,7 @@ repeated. Empty table: no rows. Other columns pass through; columns named like t
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
@@ -30,10 +32,12 @@ from dossierlens.llm.induced_sort import CAP, suffix_array
 from dossierlens.storage import stage
 
 LENGTH, GRAM = 200, 32
-SHARD_BYTES = 4_000_000
+# A shard holds owners up to this size and at most one more; the sort takes about a hundred times its bytes.
+SHARD_BYTES = 1_000_000
+PARTITION_BYTES = 64_000_000
 # Texts are taken in slices of this size: the hashes of a slice take about a hundred times its bytes.
 SLICE_BYTES = 500_000
-MEMORY = 1 << 24
+MEMORY = 1 << 20
 SIEVE_BITS = 1 << 26
 OWNED = "h long, s long, key long, n int, los array<long>"
 
@@ -100,6 +104,23 @@ def _repeated(segments: list, length: int) -> list:
     return out
 
 
+def _shards(batches, shard_bytes: int):
+    """Tables of rows ordered by (h, part): whole groups, until they reach ``shard_bytes``."""
+    held, size, last = [], 0, None
+    for batch in batches:
+        h, part = np.asarray(batch.column("h")), np.asarray(batch.column("part"))
+        heads = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (part[1:] != part[:-1]))) if len(h) else []
+        for first, end in zip(heads, [*heads[1:], len(h)]):
+            if size >= shard_bytes and last != (h[first], part[first]):
+                yield pa.Table.from_batches(held)
+                held, size = [], 0
+            held.append(batch.slice(first, end - first))
+            size += pc.sum(pc.binary_length(held[-1].column("bytes"))).as_py()
+            last = (h[first], part[first])
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """All rows and columns plus ``spans`` (array of start, end: maximal runs of removed bytes) and ``kept`` (the other bytes)."""
     if not gram < length < CAP:
@@ -146,7 +167,8 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, gr
               .where("of_owner > 1 and fewest = 1").drop("fewest"))
     compared = stage(classes.join(crowds, "h"), "compared")
     total = compared.agg(F.sum(F.col("n") + length)).first()[0] or 0
-    shards = max(1, -(-total // shard_bytes))
+    at_once = min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // shard_bytes))
+    partitions = max(1, at_once, -(-total // PARTITION_BYTES))
     wanted = spark.sparkContext.broadcast(sieve(compared.select(F.col("key").alias("v"))))
 
     def chosen(table, keep):
@@ -180,19 +202,14 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, gr
                 yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*out), CUT_TYPES)] if out else
                                                  [pa.array([], t) for t in CUT_TYPES], names=["h", "s", "first", "part", "bytes"])
     CUT_TYPES = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
-    strings = sources.mapInArrow(cut, "h long, s long, first int, part long, bytes binary").repartition(shards, "h", "part")
+    strings = sources.mapInArrow(cut, "h long, s long, first int, part long, bytes binary").repartition(partitions, "h", "part").sortWithinPartitions("h", "part")
 
     def sorted_(batches):
-        columns, bodies = [], []
-        for batch in batches:
-            columns.append(batch.select(["h", "s", "first"]))
-            bodies += batch.column("bytes").to_pylist()
-        if bodies:
-            table = pa.Table.from_batches(columns)
-            found = _repeated(bodies, length)
-            at = table.column("first").to_numpy()
+        for shard in _shards(batches, shard_bytes):
+            found = _repeated(shard.column("bytes").to_pylist(), length)
+            at = shard.column("first").to_numpy()
             yield pa.RecordBatch.from_arrays(
-                [table.column("h").combine_chunks(), table.column("s").combine_chunks(),
+                [shard.column("h").combine_chunks(), shard.column("s").combine_chunks(),
                  pa.array([a + f for (a, _), f in zip(found, at)], pa.list_(pa.int64())),
                  pa.array([b + f for (_, b), f in zip(found, at)], pa.list_(pa.int64()))], names=["h", "s", "begins", "ends"])
     sorted_out = strings.mapInArrow(sorted_, "h long, s long, begins array<long>, ends array<long>").where("size(begins) > 0")
