@@ -31,13 +31,13 @@ from dossierlens.llm.arrays import flat, mix, pieces, powers, sliding_min
 from dossierlens.llm.induced_sort import CAP, suffix_array
 from dossierlens.storage import stage
 
-LENGTH, GRAM = 200, 32
+LENGTH, GRAM = 200, 64
 # A shard holds owners up to this size and at most one more; the sort takes about a hundred times its bytes.
 SHARD_BYTES = 1_000_000
 PARTITION_BYTES = 64_000_000
 # Texts are taken in slices of this size: the hashes of a slice take about a hundred times its bytes.
 SLICE_BYTES = 500_000
-MEMORY = 1 << 20
+MEMORY = 1 << 21
 SIEVE_BITS = 1 << 26
 OWNED = "h long, s long, key long, n int, los array<long>"
 
