@@ -171,10 +171,10 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, gr
     partitions = max(1, at_once, -(-total // PARTITION_BYTES))
     wanted = spark.sparkContext.broadcast(sieve(compared.select(F.col("key").alias("v"))))
 
-    def chosen(table, keep):
+    def chosen(table, keep, key="key"):
         def filtered(batches):
             for batch in batches:
-                yield batch.filter(pa.array(passes(table.value, np.asarray(batch.column("key"))) == keep))
+                yield batch.filter(pa.array(passes(table.value, np.asarray(batch.column(key))) == keep))
         return filtered
     of_text = compared.groupBy("key").agg(F.collect_list(F.struct("h", "s", "lo", "n", "bytes")).alias("cuts"))
     sources = (rows.mapInArrow(chosen(wanted, True), "key long, text string").join(of_text, "key")
@@ -221,14 +221,16 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, gr
     kept = [c for c in docs.columns if c not in ("spans", "kept")]
     span = ArrayType(StructType([StructField("start", LongType()), StructField("end", LongType())]))
     schema = StructType([*docs.select(kept).schema.fields, StructField("spans", span), StructField("kept", BinaryType())])
-    whole = docs.select(*kept, F.col(text).alias("text_"), identity.alias("key"))
+    # The text travels once, unless its own column is replaced by an output.
+    body_ = text if text in kept else "__text"
+    whole = docs.select(*kept, *([] if text in kept else [F.col(text).alias(body_)]), identity.alias("__key"))
 
     def removed(batches):
         for batch in batches:
-            for piece in pieces(batch, "text_"):
+            for piece in pieces(batch, body_):
                 columns = [piece.column(c) for c in range(len(kept))]
-                bodies, starts = flat(piece.column("text_"))
-                runs = piece.column("runs").to_pylist() if "runs" in piece.schema.names else [None] * piece.num_rows
+                bodies, starts = flat(piece.column(body_))
+                runs = piece.column("__runs").to_pylist() if "__runs" in piece.schema.names else [None] * piece.num_rows
                 spans, rest = [], []
                 for k, own in enumerate(runs):
                     body = bodies[starts[k]: starts[k + 1]]
@@ -248,9 +250,11 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, gr
                     rest.append(body[~gone].tobytes())
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
                                                   pa.array(rest, pa.binary())], names=schema.names)
-    met = whole.mapInArrow(chosen(touched, True), whole.schema).join(covered, "key", "left").drop("key")
-    free = whole.mapInArrow(chosen(touched, False), whole.schema).drop("key")
-    return met.mapInArrow(removed, schema).unionByName(free.mapInArrow(removed, schema))
+    untouched = chosen(touched, False, "__key")
+    runs_of = covered.select(F.col("key").alias("__key"), F.col("runs").alias("__runs"))
+    met = whole.mapInArrow(chosen(touched, True, "__key"), whole.schema).join(runs_of, "__key", "left").drop("__key")
+    # Other texts are filtered and passed on by one Python worker.
+    return met.mapInArrow(removed, schema).unionByName(whole.mapInArrow(lambda batches: removed(untouched(batches)), schema))
 
 
 def _owner_place(body: bytes, lo: int, length: int, gram: int) -> int:

@@ -169,6 +169,9 @@ def test_repeated_strings(spark):
         got = repeated_spans(docs, length=50, gram=12, shard_bytes=shard).collect()
         assert sorted((r.doc_id, bytes(r.kept)) for r in got) == truth
     assert repeated_spans(docs.limit(0)).count() == 0
+    named = docs.select("doc_id", F.lit(1).alias("key"), F.lit("x").alias("runs"), F.col("text").alias("spans"))
+    got = repeated_spans(named, text="spans", length=50, gram=12).collect()
+    assert sorted((r.doc_id, bytes(r.kept)) for r in got) == truth and {(r.key, r.runs) for r in got} == {(1, "x")}
 
 
 def test_nearest(spark):
