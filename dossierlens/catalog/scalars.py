@@ -249,21 +249,19 @@ def normalize_for_tfidf(spark, sf_dir):
 @query("n21_urgency", sql(DOC, f"""
     SELECT document_id, CASE WHEN d < 0 THEN 'Expiré' WHEN d <= 7 THEN 'Critique' WHEN d <= 14 THEN 'Urgent'
       WHEN d <= 30 THEN 'Attention' ELSE 'OK' END AS urgency
-    FROM (SELECT document_id, {DAYS_UNTIL.format('date_expiration')} AS d FROM doc WHERE date_expiration IS NOT NULL)"""))
+    FROM (SELECT document_id, {DAYS_UNTIL.format('date_expiration')} AS d FROM doc)"""))
 def urgency(spark, sf_dir):
     days = dates.days_until(dates.parse_iso(F.col("date_expiration")), b.AS_OF)
-    return _docs(spark, sf_dir).where("date_expiration is not null").select(
-        "document_id", dates.urgency(days).alias("urgency"))
+    return _docs(spark, sf_dir).select("document_id", dates.urgency(days).alias("urgency"))
 
 
 @query("n22_days_left_label", sql(DOC, f"""
     SELECT document_id, CASE WHEN d < 0 THEN 'Expiré il y a ' || abs(d) || 'j' WHEN d = 0 THEN 'Expire aujourd''hui'
       ELSE 'J-' || d END AS label
-    FROM (SELECT document_id, {DAYS_UNTIL.format('date_expiration')} AS d FROM doc WHERE date_expiration IS NOT NULL)"""))
+    FROM (SELECT document_id, {DAYS_UNTIL.format('date_expiration')} AS d FROM doc)"""))
 def days_left_label(spark, sf_dir):
     days = dates.days_until(dates.parse_iso(F.col("date_expiration")), b.AS_OF)
-    return _docs(spark, sf_dir).where("date_expiration is not null").select(
-        "document_id", dates.days_left_label(days).alias("label"))
+    return _docs(spark, sf_dir).select("document_id", dates.days_left_label(days).alias("label"))
 
 
 @query("n23_title_case", """
@@ -276,10 +274,9 @@ def title_case(spark, sf_dir):
 
 
 @query("n24_split_amounts", sql(DOC, """
-    SELECT document_id, montant_tva AS tva, (round(montant_ht * 100) + round(montant_tva * 100)) / 100.0::double AS ttc
-    FROM doc WHERE montant_ht IS NOT NULL"""))
+    SELECT document_id, montant_tva AS tva, (round(montant_ht * 100) + round(montant_tva * 100)) / 100.0::double AS ttc FROM doc"""))
 def split_amounts(spark, sf_dir):
-    return _docs(spark, sf_dir).where("montant_ht is not null").select(
+    return _docs(spark, sf_dir).select(
         "document_id", amounts.split_amounts(F.col("montant_ht"), F.col("taux_tva")).alias("s")).select(
         "document_id", "s.tva", "s.ttc")
 
@@ -302,11 +299,10 @@ def record_json(spark, sf_dir):
 @query("n27_windows", """
     SELECT doc_id, substr(text, 1, 100) AS head, substr(text, greatest(pos - 20, 0) + 1,
       pos + 3 + 20 - greatest(pos - 20, 0)) AS around
-    FROM (SELECT doc_id, text, strpos(text, 'the') - 1 AS pos FROM documents WHERE contains(text, 'the'))""")
+    FROM (SELECT doc_id, text, strpos(text, 'the') - 1 AS pos FROM documents)""")
 def windows(spark, sf_dir):
-    rows = b.table(spark, sf_dir, "documents").where("contains(text, 'the')")
     text = F.col("text")
-    return rows.select(
+    return b.table(spark, sf_dir, "documents").select(
         "doc_id", tx.slice_head(text, 100).alias("head"),
         tx.vicinity(text, F.instr(text, "the") - 1, F.lit(3), 20).alias("around"))
 

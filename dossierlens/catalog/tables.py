@@ -388,9 +388,9 @@ def dedupe_keep_order(spark, sf_dir):
 @query("u01_union_checks", sql(DOC, """
     SELECT document_id, CASE WHEN trim(ocr_text) = '' THEN 'ocr_readable,' WHEN ocr_quality_score < 0.25
       THEN 'ocr_quality,' ELSE '' END || 'field_montant_ttc,field_raison_sociale,field_montant_ht' AS rules
-    FROM doc WHERE doc_type = 'FACTURE'"""))
+    FROM doc"""))
 def union_checks(spark, sf_dir):
-    docs = b.documents(spark, sf_dir).where("doc_type = 'FACTURE'")
+    docs = b.documents(spark, sf_dir)
     before = rules.bag(rules.readability_check(F.col("ocr_text"), F.col("ocr_quality_score")), rules.CHECKS)
     after = rules.bag(rules.field_checks(F.col("extracted"), F.lit(True), rules.FACTURE_FIELDS), rules.CHECKS)
     return docs.select("document_id", F.array_join(F.concat(before, after)["rule"], ",").alias("rules"))

@@ -322,9 +322,9 @@ def tfidf(spark, sf_dir):
         vector_to_array("features"), F.lit(0.0), lambda a, x: a + x * x), 6).alias("squared_norm"))
 
 
-def _split_model(spark, sf_dir, **options):
+def _split_model(spark, sf_dir):
     rows = stage(training.stratified_split(training_rows(spark, sf_dir), "row_id"), "split-rows")
-    model = training.train_forest(rows.where(~F.col("is_test")), **options)
+    model = training.train_forest(rows.where(~F.col("is_test")))
     return rows, model
 
 
@@ -338,7 +338,7 @@ def train(spark, sf_dir):
 
 @query("m04_predict")
 def predict(spark, sf_dir):
-    rows, model = _split_model(spark, sf_dir, trees=50)
+    rows, model = _split_model(spark, sf_dir)
     path = scratch_path(spark, "model")
     model.save(path)
     loaded = training.TrainedClassifier.load(path)
@@ -398,7 +398,7 @@ def confusion_matrix(spark, sf_dir):
 
 @query("m08_cross_validate")
 def cross_validate(spark, sf_dir):
-    scores = training.cross_validate(training_rows(spark, sf_dir), "row_id", trees=20, max_depth=10, k=3)
+    scores = training.cross_validate(training_rows(spark, sf_dir), "row_id")
     return training.cross_validation_summary(scores)
 
 
@@ -413,7 +413,7 @@ def training_verdict(spark, sf_dir):
 
 @query("l06_top_features")
 def top_features(spark, sf_dir):
-    rows, model = _split_model(spark, sf_dir, trees=20, max_depth=10)
+    rows, model = _split_model(spark, sf_dir)
     return model.top_features(spark, 20)
 
 
