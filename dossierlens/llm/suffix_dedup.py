@@ -187,7 +187,8 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, gr
                 for body, cuts in zip(piece.column("text").cast(pa.binary()), piece.column("cuts").to_pylist()):
                     body = body.as_py()
                     for c in cuts:
-                        parts = min(c["n"], -(-c["bytes"] // shard_bytes))
+                        # Parts and salts follow from the bytes of the owner, so that all its segments are cut alike.
+                        parts = min(length - gram + 1, -(-c["bytes"] // shard_bytes))
                         more = -(-c["bytes"] // (shard_bytes * (length - gram + 1)))
                         # The place of a string is counted from its owner, as equal strings of other segments count it.
                         shift = (c["lo"] - _owner_place(body, c["lo"], length, gram)) if parts > 1 else 0
@@ -196,7 +197,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, gr
                         while first < c["n"]:
                             last = c["n"] if parts == 1 else min(c["n"], ((shift + first) // size + 1) * size - shift)
                             bytes_ = body[c["lo"] + first: c["lo"] + last + length - 1]
-                            salt = xxhash.xxh3_64_intdigest(bytes_) % more if more > 1 and last == first + 1 else 0
+                            salt = xxhash.xxh3_64_intdigest(bytes_) % more if size == 1 and parts > 1 else 0
                             out.append((c["h"], c["s"], first, ((shift + first) // size if parts > 1 else 0) * 1_000_003 + salt, bytes_))
                             first = last
                 yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*out), CUT_TYPES)] if out else

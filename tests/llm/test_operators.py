@@ -20,7 +20,7 @@ from dossierlens.llm.induced_sort import suffix_array
 from dossierlens.llm.language import identify, train
 from dossierlens.llm.near_duplicates import near_duplicates
 from dossierlens.llm.nearest import nearest
-from dossierlens.llm.suffix_dedup import repeated_spans
+from dossierlens.llm.suffix_dedup import owners, repeated_spans
 from dossierlens.llm.url_filter import filter_urls
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -174,6 +174,30 @@ def test_repeated_strings(spark):
     assert sorted((r.doc_id, bytes(r.kept)) for r in got) == truth and {(r.key, r.runs) for r in got} == {(1, "x")}
 
 
+def test_repeated_strings_of_a_split_owner(spark):
+    length, gram, alphabet = 50, 12, "abcdefghijklmnopqrstuvwxyz"
+    rng = random.Random(5)
+
+    def noise(n):
+        return "".join(rng.choice(alphabet) for _ in range(n))
+
+    # The gram with the smallest hash of many owns every string that holds it.
+    pool = noise(200_000)
+    hashes = owners(np.frombuffer(pool.encode(), np.uint8), np.array([0, len(pool)]), gram, gram)[1].view(np.uint64)
+    hot = pool[int(hashes.argmin()):][:gram]
+    bodies = [noise(38) + hot + noise(38) for _ in range(60)]
+    # Strings at several places of the owner, each alone, among two more and in the middle of a long segment.
+    for before in (38, 30, 25, 13, 2, 0):
+        string = noise(before) + hot + noise(length - gram - before)
+        bodies += [string, noise(1) + string + noise(1), noise(38 - before) + string + noise(before)]
+    docs = spark.createDataFrame(list(enumerate(bodies)), "doc_id long, text string")
+    truth = list(enumerate(kept_bytes([b.encode() for b in bodies], length)))
+    assert sum(len(kept) < len(body) for (_, kept), body in zip(truth, bodies)) == 18
+    for shard in (1_000_000, 2000, 500, 150, 20):  # one part, few, many, one string a part, and salted
+        got = repeated_spans(docs, length=length, gram=gram, shard_bytes=shard).collect()
+        assert sorted((r.doc_id, bytes(r.kept)) for r in got) == truth, shard
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(4)
     vectors = rng.normal(size=(600, 16)).astype(np.float32)
