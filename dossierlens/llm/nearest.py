@@ -9,7 +9,8 @@
   neighbours are found by an exact pass over all vectors: w follows the distance of the last neighbour, and the probes are the
   fewest with ``recall`` on the sample. All rows are indexed, and none is left out of a bucket.
 * Candidates of a bucket are scored as one matrix product in double precision. Buckets beyond ``GROUP_ROWS`` vectors are split,
-  with the probing queries copied to each part; a task holds about ``GROUP_ROWS`` vectors at a time.
+  with the probing queries copied to each part; queries beyond ``GROUP_ROWS`` are split too, with the vectors of the index
+  copied to each part. A task holds about ``GROUP_ROWS`` vectors of either side at a time.
 * Queries that find fewer candidates than wanted (small tables) get the exact pass, in blocks of ``BLOCK`` queries.
 
 Vectors that are null, zero, hold null or non-finite components, or have another length than most vectors take no part. A
@@ -204,15 +205,19 @@ def nearest(rows: DataFrame, queries: DataFrame, count: int = 20, vec_id: str =
     probes = heads.mapInArrow(probing, f"tab int, buckets array<long>, {row}").select("tab", F.explode("buckets").alias("bucket"), "id", "vector")
     sizes = index.groupBy("tab", "bucket").agg(F.ceil(F.count("*") / GROUP_ROWS).cast("int").alias("parts"))
     groups = max(16, index.count() // GROUP_ROWS)
+    sides = max(1, -(-heads.count() // GROUP_ROWS))
 
     def dealt(df, part):
         """``cell`` is a part of a bucket, ``deal`` the task group that holds it."""
         return (df.join(sizes, ["tab", "bucket"]).withColumn("part", part)
                 .select(F.xxhash64("tab", "bucket", "part").alias("cell"), "id", "vector")
                 .withColumn("deal", F.pmod(F.col("cell"), F.lit(groups)).cast("int")))
+    # ``side`` is a part of the queries; each has its own copy of the deals.
     left = dealt(index, F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    left = left.withColumn("side", F.explode(F.sequence(F.lit(0), F.lit(sides - 1))))
     right = dealt(probes, F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).groupBy("deal", "id").agg(
         F.first("vector").alias("vector"), F.collect_set("cell").alias("cells"))
+    right = right.withColumn("side", F.pmod(F.xxhash64("id"), F.lit(sides)).cast("int"))
 
     def searched(index, asked):
         if not len(index) or not len(asked):
@@ -243,7 +248,7 @@ def nearest(rows: DataFrame, queries: DataFrame, count: int = 20, vec_id: str =
         top = _best(*merged, wanted)
         return pd.DataFrame({"query": merged[0][top], "candidate": merged[1][top], "score": merged[2][top]})
 
-    found = stage(_merged(left.groupBy("deal").cogroup(right.groupBy("deal")).applyInPandas(searched, FOUND), wanted), "found")
+    found = stage(_merged(left.groupBy("deal", "side").cogroup(right.groupBy("deal", "side")).applyInPandas(searched, FOUND), wanted), "found")
     enough = found.groupBy("query").count().where(F.col("count") >= wanted)
     short = heads.join(enough.select(F.col("query").alias("rep")), "rep", "left_anti").sort("rep")
     block = []

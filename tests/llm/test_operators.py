@@ -6,10 +6,12 @@ import os
 import random
 import re
 import sys
+import uuid
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.group_ops import PandasCogroupedOps
 
 import compare
 from dossierlens.llm import catalog
@@ -216,6 +218,26 @@ def test_nearest(spark):
     assert few == 20 and nearest(table.limit(0), table).count() == 0
 
 
+def test_nearest_bounds_both_sides(spark, monkeypatch, tmp_path):
+    vectors = np.random.default_rng(6).normal(size=(400, 8)).astype(np.float32)
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], "vec_id long, embedding array<float>")
+    asked = table.where("vec_id % 2 = 0")
+    whole = sorted(tuple(r) for r in nearest(table, asked).collect())
+    folder, apply = str(tmp_path), PandasCogroupedOps.applyInPandas
+
+    def watched(self, function, schema):
+        def noted(index, queries):
+            with open(f"{folder}/{uuid.uuid4().hex}", "w") as f:
+                f.write(f"{len(queries)}")
+            return function(index, queries)
+        return apply(self, noted, schema)
+    monkeypatch.setattr(PandasCogroupedOps, "applyInPandas", watched)
+    monkeypatch.setattr(sys.modules[nearest.__module__], "GROUP_ROWS", 50)
+    got = sorted(tuple(r) for r in nearest(table, asked).collect())
+    held = [int(p.read_text()) for p in tmp_path.iterdir()]
+    assert [r[:3] for r in got] == [r[:3] for r in whole] and 0 < max(held) < 100
+
+
 def test_urls(spark):
     urls = ["http://A.net", "http://a.net/", "https://Sub.Example.NET/en/x?y=/fr/", "x://example.com/de/", "x://example.com/dede/", "notexample.com",
             None, "", "x://org/fr/", "x://a.org/fr/#z", "http://spam-farm.io/", "http://spamfarm.io/", "http://xexample.net/en/", "http://a.net/", "x://" + "a/" * 5000]
