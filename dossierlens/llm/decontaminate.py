@@ -8,20 +8,24 @@ confirmed word by word, which leaves no false hit.
 Short items are handled by the same rule with their own window size: one family of fingerprints per window size that occurs,
 of which there are at most ``window``.
 
-The benchmark goes to the tasks in blocks of at most ``block_words`` words, so what is broadcast is bounded whatever its
-size; documents are read once per block and the hits of the blocks are merged per document. The usual benchmark is one block.
+The benchmark goes to the tasks in blocks of ``block_words`` words and at most one more item, so what is broadcast is bounded
+by that and the longest item; with several blocks the documents are written once with a key of their own per row, texts are
+read once per block, and the hits of the blocks are merged per row. The usual benchmark is one block.
 
 Defined results: a null or empty text, or an item without words, has no windows and no hits. Repeated items are all named.
-Repeated document rows are answered one by one with one block (with several, rows of equal ``doc_id`` must have equal text).
+Document rows are answered one by one, whatever their ids, with one block and with several.
 Empty tables give empty results or no hits. Other columns of the documents pass through.
 """
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from dossierlens.llm.arrays import LOWER, Words, byte_classes, flat, pieces, sliding_min
+from dossierlens.storage import stage
 
 WORD = byte_classes((0x30, 0x39), (0x61, 0x7A), (0x80, 0xFF))
 WINDOW, GRAM = 13, 6
@@ -105,13 +109,17 @@ class Index:
 
 
 def _blocks(benchmark: DataFrame, item: str, text: str, block_words: int):
-    """Lists of (item id, text) of about ``block_words`` words each, one block in driver memory at a time."""
+    """Lists of (item id, text) of about ``block_words`` words each, one block in driver memory at a time; items without words
+    are left out."""
     rows = (benchmark.where(F.col(text).isNotNull())
             .select(F.col(item).cast("string").alias("item"), F.col(text).alias("text")).sort("item", "text"))
     block, size = [], 0
     for row in rows.toLocalIterator():
+        count = len(Words(*flat(pa.array([row.text], pa.string())), WORD).start)
+        if not count:
+            continue
         block.append((row.item, row.text))
-        size += row.text.count(" ") + 1
+        size += count
         if size >= block_words:
             yield block
             block, size = [], 0
@@ -124,9 +132,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc
                        block_words: int = BLOCK_WORDS) -> DataFrame:
     """All rows and columns of ``docs`` plus n_words, hit_from/hit_to (word ranges inside any occurrence), and item_ids."""
     kept = docs.drop(*HIT_COLUMNS.names)
-    schema = StructType([*kept.schema.fields, *HIT_COLUMNS.fields])
 
-    def against(block):
+    def against(rows, block):
+        schema = StructType([*rows.schema.fields, *HIT_COLUMNS.fields])
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def searched(batches):
@@ -140,19 +148,21 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc
                         [*piece.columns, pa.array(counts, pa.int64()), pa.array([r[0] for r in rows], pa.list_(pa.int32())),
                          pa.array([r[1] for r in rows], pa.list_(pa.int32())),
                          pa.array([r[2] for r in rows], pa.list_(pa.string()))], names=schema.names)
-        return kept.mapInArrow(searched, schema)
-
-    parts = [against(block) for block in _blocks(benchmark, item_id, item_text, block_words)] or [against([])]
-    if len(parts) == 1:
-        return parts[0]
-    ranges = parts[0]
+        return rows.mapInArrow(searched, schema)
+
+    blocks = _blocks(benchmark, item_id, item_text, block_words)
+    first, second = next(blocks, []), next(blocks, None)
+    if second is None:
+        return against(kept, first)
+    # Ids may be null or repeated, so each row gets a key, which is written so that every block meets the same one.
+    rows = stage(kept.withColumn("__row", F.monotonically_increasing_id()), "keyed_documents")
     hits = None
-    for part in parts:
-        own = part.where(F.size("item_ids") > 0).select(F.col(doc_id).alias("__id"), "hit_from", "hit_to", "item_ids")
+    for block in itertools.chain([first, second], blocks):
+        own = against(rows.select("__row", text), block).where(F.size("item_ids") > 0).drop(text, "n_words")
         hits = own if hits is None else hits.unionByName(own)
-    merged = (hits.dropDuplicates().groupBy("__id").agg(
+    merged = hits.groupBy("__row").agg(
         F.flatten(F.collect_list(F.arrays_zip("hit_from", "hit_to"))).alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("items")))
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("items"))
     # Ranges that overlap or touch become one; spans are visited in order of their start.
     fold = F.aggregate(
         F.array_sort("spans"), F.array().cast("array<struct<hit_from:int,hit_to:int>>"),
@@ -162,13 +172,14 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc
                 F.element_at(done, -1)["hit_from"].alias("hit_from"),
                 F.greatest(F.element_at(done, -1)["hit_to"], s["hit_to"]).alias("hit_to")))))
         .otherwise(F.concat(done, F.array(F.struct(s["hit_from"].alias("hit_from"), s["hit_to"].alias("hit_to"))))))
-    merged = merged.select("__id", fold.alias("spans"), "items")
+    merged = merged.select("__row", fold.alias("spans"), "items")
     none = F.array().cast("array<int>")
-    return (ranges.drop("hit_from", "hit_to", "item_ids").join(merged, F.col(doc_id) == F.col("__id"), "left")
+    # Without items the words are only counted.
+    return (against(rows, []).drop("hit_from", "hit_to", "item_ids").join(merged, "__row", "left")
             .withColumn("hit_from", F.coalesce(F.col("spans")["hit_from"], none))
             .withColumn("hit_to", F.coalesce(F.col("spans")["hit_to"], none))
             .withColumn("item_ids", F.coalesce("items", F.array().cast("array<string>")))
-            .select(*schema.names))
+            .select(*kept.columns, *HIT_COLUMNS.names))
 
 
 def n_hit():

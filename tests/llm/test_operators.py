@@ -17,7 +17,7 @@ import compare
 from dossierlens.llm import catalog
 from dossierlens.llm.chat_format import format_chats, parse
 from dossierlens.llm.components import connected_components
-from dossierlens.llm.decontaminate import find_contamination, judged
+from dossierlens.llm.decontaminate import HIT_COLUMNS, _blocks, find_contamination, judged
 from dossierlens.llm.induced_sort import suffix_array
 from dossierlens.llm.language import identify, train
 from dossierlens.llm.near_duplicates import near_duplicates
@@ -131,6 +131,23 @@ def test_decontamination(spark, odd):
     assert find_contamination(odd, bench.limit(0)).where("size(item_ids) > 0").count() == 0
 
 
+def test_decontamination_in_blocks_answers_every_row(spark):
+    texts = ["The cat and the dog", "chien, the\tcat", "le chat", "the dog", None, "", "a the-cat chien b"]
+    rows = [(None, t, "own") for t in texts] + [(7, t, "own") for t in texts] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, note string").repartition(3)
+    bench = spark.createDataFrame([(1, "The CAT"), (2, "..."), (3, "the dog"), (4, "chien"), (5, "cat-AND-the")], "item_id long, text string")
+
+    def answers(**more):
+        found = judged(find_contamination(docs, bench, **more))
+        assert found.columns == ["doc_id", "text", "note", *HIT_COLUMNS.names, "n_hit", "n_items", "contaminated"]
+        return sorted((tuple(r) for r in found.collect()), key=str)
+    whole = answers()
+    assert len(whole) == 21 and sum(r[0] is None and r[-1] for r in whole) == 4
+    assert answers(block_words=1) == answers(block_words=4) == whole
+    words = spark.createDataFrame([(k, "a-b\nc\td") for k in range(6)] + [(9, "?!")], "item_id long, text string")
+    assert [len(b) for b in _blocks(words, "item_id", "text", 8)] == [2, 2, 2]
+
+
 def test_language(spark, odd):
     got = catalog.QUERIES["op10_language_id"](spark, SF).toPandas()
     truth = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang").toPandas().merge(got, on="doc_id")
