@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from dossierlens import schemas
 from dossierlens.catalog import bindings as b
 from dossierlens.catalog.reference_sql import DOC, PRED, READ_BACK, READ_BACK_RULES, RULES, SUP, sql
-from dossierlens.catalog.registry import query
+from dossierlens.catalog.registry import CHECKS, query
 from dossierlens.functions import text as tx
 from dossierlens.operators import aggregates, classify, extraction, joins, rules, siblings, synth, training, validation
 from dossierlens.plans.processing import dead_letter, process_documents
@@ -444,6 +444,44 @@ def render_documents(spark, sf_dir):
     return rendered(spark, sf_dir).where("doc_type not in ('FACTURE', 'DEVIS')").select("document_id", "ocr_text")
 
 
+# The check of y01 states the four types with one layout; this one adds the three layouts of invoices and of quotes.
+@query("y05_render_all_documents", f"SELECT * FROM ({CHECKS['y01_render_documents']}) UNION ALL SELECT * FROM (" + sql(DOC, r"""
+    , f AS (SELECT *, l_orderkey % 3 AS layout, 'Raison sociale : ' || raison_sociale AS l_name, adresse || '.' AS l_address,
+        'SIRET : ' || siret || ' (siège)' AS l_siret, 'N° TVA : ' || tva_number AS l_tva,
+        cast(cast(montant_ht AS decimal(18,2)) AS varchar) || ' €' AS ht, cast(cast(montant_tva AS decimal(18,2)) AS varchar) || ' €' AS tva,
+        cast(cast(montant_ttc AS decimal(18,2)) AS varchar) || ' €' AS ttc, cast(taux_tva AS varchar) AS rate,
+        substr(date_emission, 9, 2) || '/' || substr(date_emission, 6, 2) || '/' || substr(date_emission, 1, 4) AS emis,
+        substr(date_echeance, 9, 2) || '/' || substr(date_echeance, 6, 2) || '/' || substr(date_echeance, 1, 4) AS du,
+        substr(date_expiration, 9, 2) || '/' || substr(date_expiration, 6, 2) || '/' || substr(date_expiration, 1, 4) AS fin,
+        'Pénalités de retard exigibles sans rappel, indemnité forfaitaire due pour toute facture impayée.' AS end_f,
+        'Prestations proposées sous réserve d''acceptation, acompte de 30 % à la commande.' || chr(10)
+          || 'Bon pour accord, devis non contractuel avant signature.' AS end_d
+      FROM doc WHERE doc_type IN ('FACTURE', 'DEVIS'))
+    SELECT document_id, CASE
+      WHEN doc_type = 'FACTURE' AND layout = 0 THEN concat_ws(chr(10), raison_sociale, l_address, l_siret, l_tva,
+        'FACTURE N° ' || numero_document, 'Date d''émission : ' || emis, 'Date d''échéance : ' || du,
+        'Vendeur et acheteur désignés au contrat, mode de règlement : virement.', 'Total HT : ' || ht,
+        'TVA ' || rate || '% : ' || tva, 'TOTAL TTC : ' || ttc, end_f)
+      WHEN doc_type = 'FACTURE' AND layout = 1 THEN concat_ws(chr(10), 'FACTURE', 'N° de facture : ' || numero_document,
+        'Date de facturation : ' || emis, 'Date de paiement : ' || du, l_name, l_address, l_siret, l_tva,
+        'Montant HT : ' || ht, 'Taux de TVA ' || rate || ' %', 'Montant TVA : ' || tva, 'Montant TTC : ' || ttc, end_f)
+      WHEN doc_type = 'FACTURE' THEN concat_ws(chr(10), 'DOCUMENT DE FACTURATION', 'Ref. facture : ' || numero_document,
+        'Émis le ' || emis, 'Payable le ' || du, l_name, l_address, l_siret, l_tva,
+        'Règlement de la présente facture sans escompte.', 'Montant HT : ' || ht, 'dont TVA : ' || tva,
+        'Net à payer : ' || ttc, end_f)
+      WHEN layout = 0 THEN concat_ws(chr(10), raison_sociale, l_address, l_siret, l_tva, 'DEVIS N° ' || numero_document,
+        'Date d''établissement : ' || emis, 'Valable jusqu''au : ' || fin, 'Sous-total HT : ' || ht,
+        'TVA ' || rate || '% : ' || tva, 'Total TTC : ' || ttc, end_d)
+      WHEN layout = 1 THEN concat_ws(chr(10), 'PROPOSITION COMMERCIALE', 'Offre n° ' || numero_document, 'Fait le ' || emis,
+        'Date de validité : ' || fin, l_name, l_address, l_siret, l_tva, 'Total HT : ' || ht, 'Taux de TVA ' || rate || ' %',
+        'Montant TVA : ' || tva, 'Total TTC : ' || ttc, end_d)
+      ELSE concat_ws(chr(10), 'OFFRE DE SERVICES', 'N° du devis : ' || numero_document,
+        'Date du document' || chr(10) || 'Date de document : ' || emis, 'Expire le ' || fin, l_name, l_address, l_siret, l_tva,
+        'Base HT : ' || ht, 'Montant TVA : ' || tva, 'Total général : ' || ttc, end_d) END AS ocr_text FROM f""") + ")")
+def render_all_documents(spark, sf_dir):
+    return rendered(spark, sf_dir).select("document_id", "ocr_text")
+
+
 @query("y02_inject_anomaly", sql(SUP, """
     , idx AS (SELECT *, row_number() OVER (ORDER BY supplier_id) - 1 AS i, count(*) OVER () AS n FROM sup),
     nxt AS (SELECT a.*, b.siret AS next_siret FROM idx a JOIN idx b ON b.i = (a.i + 1) % a.n),
