@@ -8,10 +8,14 @@ is long enough; one that is too short still uses up its bytes, as a regular expr
 The leftmost begin is exact for rules of which no match contains the begin of a later match that ends earlier; this holds for
 prefix-and-value rules like those below.
 
+A match of a rule with ``rest`` runs on over the key body that follows: to the END mark if one comes before the next BEGIN
+mark, and else over the header and base64 lines that follow, so that a key cut off by the end of its text is covered too.
+
 Defined results: null or empty text has no spans. Offsets are code points, end exclusive. Rows are scanned one by one;
 other columns pass through, a column named like the output is replaced.
 """
 
+import re
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -31,6 +35,7 @@ class Rule:
     value: str
     least: int
     fold_prefix: bool = False
+    rest: bool = False
 
 
 # The base rules, in the order in which kinds are listed, and well-known public key formats after them.
@@ -42,12 +47,23 @@ BASE_RULES = (
 MORE_RULES = (
     Rule("github", "gh[pousr]_", "[A-Za-z0-9]+", 36),
     Rule("slack", "xox[abprs]-", "[A-Za-z0-9-]+", 10),
-    Rule("pem", "-----BEGIN [A-Z ]*PRIVATE KEY", "-----", 5),
+    Rule("pem", "-----BEGIN [A-Z ]*PRIVATE KEY", "-----", 5, rest=True),
 )
 RULES = BASE_RULES + MORE_RULES
 SPAN = ArrayType(StructType([StructField("kind", StringType()), StructField("start", IntegerType()), StructField("end", IntegerType())]))
 
 
+MARK = re.compile(rb"-----(BEGIN|END) [A-Z ]*PRIVATE KEY-----")
+BODY = re.compile(rb"""(?:(?:[\s"'>#*+,]|\\[nrt])*(?:(?:Proc-Type|DEK-Info|Comment|Version):[^\n\\]*|[A-Za-z0-9+/=]{16,}))*"""
+                  rb"""(?:(?:\r?\n|\\r|\\n)+[A-Za-z0-9+/]+=*(?=[\r\n\\"']|\Z))?""")
+
+
+def body_end(data: bytes, end: int) -> int:
+    """Where the key ends whose BEGIN mark ends at ``end``."""
+    mark = MARK.search(data, end)
+    return mark.end() if mark and mark[1] == b"END" else BODY.match(data, end).end()
+
+
 class Scanner:
     """The compiled rules."""
 
@@ -94,7 +110,7 @@ def scan_secrets(docs: DataFrame, rules: tuple = RULES, text: str = "text", outp
                 raw, bounds, counts, kinds, begins, ends = data.tobytes(), starts.tolist(), [0], [], [], []
                 for first, last in zip(bounds, bounds[1:]):
                     own = raw[first:last]
-                    spans = scanner.scan(own)
+                    spans = [(s, k, body_end(own, e) if rules[k].rest else e) for s, k, e in scanner.scan(own)]
                     if spans and not own.isascii():
                         spans = [(len(own[:s].decode()), k, len(own[:e].decode())) for s, k, e in spans]
                     for start, number, end in spans:
