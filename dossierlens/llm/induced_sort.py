@@ -1,13 +1,13 @@
-"""Suffix and common-prefix arrays of one shard by external induced sorting.
+"""Suffix and common-prefix arrays of one shard by induced sorting with its queue in files.
 
 The classic scheme: suffixes are of type L or S by the comparison with their right neighbour; the sorted LMS suffixes (S after
 L) induce all L suffixes in one ascending sweep and those induce all S suffixes in one descending sweep. The LMS suffixes are
 sorted by naming their substrings (which the same two sweeps sort) and recursion on the string of names.
 
 A sweep is a priority queue keyed by the first symbol. Entries of one key are taken in the order they were put in, so the
-queue is one file region per symbol with a write head: entries are appended at the heads and read front to back. The regions,
-the strings and the results are ``numpy.memmap`` files of the task's folder as soon as the shard is longer than ``memory``
-symbols, so a shard may be far larger than memory. Entries are suffix positions; with them goes the common-prefix value with
+queue is one file region per symbol with a write head: entries are appended at the heads and read front to back. The regions
+and their prefix values are ``numpy.memmap`` files of a temporary folder of the machine as soon as the shard is longer than
+``memory`` symbols. Text, packed words, ranks, names and results are arrays in memory, so memory bounds the shard. Entries are suffix positions; with them goes the common-prefix value with
 the entry before, which a sweep derives as one plus the smallest value between the two sources.
 
 Entries are moved in batches: a batch is a range of symbols whose entries put nothing back into the range, so it is final
