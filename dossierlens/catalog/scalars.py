@@ -46,16 +46,15 @@ IBAN_CASE = """CASE l_orderkey % 6 WHEN 0 THEN iban WHEN 1 THEN lower(iban) WHEN
 
 
 @query("n03_iban_format", sql(DOC, f"""
-    , c AS (SELECT document_id, upper(replace({IBAN_CASE}, ' ', '')) AS c FROM doc WHERE doc_type = 'RIB'),
+    , c AS (SELECT document_id, upper(replace({IBAN_CASE}, ' ', '')) AS c FROM doc),
     d AS (SELECT *, substr(c, 5) || '1527' || substr(c, 3, 2) AS moved FROM c)
-    SELECT document_id, CASE WHEN c NOT LIKE 'FR%' OR length(c) <> 27 THEN false
+    SELECT document_id, CASE WHEN c IS NULL OR c NOT LIKE 'FR%' OR length(c) <> 27 THEN false
       WHEN contains(c, 'ABCDE') THEN
         (((substr(moved, 1, 10)::hugeint % 97) * 10000000000 + 1011121314) % 97 * 100000000000000
           + substr(moved, 16)::hugeint) % 97 = 1
       ELSE moved::hugeint % 97 = 1 END AS ok FROM d"""))
 def iban_format(spark, sf_dir):
-    rib = _docs(spark, sf_dir).where("doc_type = 'RIB'")
-    return rib.select("document_id", identifiers.iban_format(F.expr(IBAN_CASE))["ok"].alias("ok"))
+    return _docs(spark, sf_dir).select("document_id", identifiers.iban_format(F.expr(IBAN_CASE))["ok"].alias("ok"))
 
 
 @query("n04_tva_number", sql(DOC, """
@@ -99,10 +98,9 @@ def siren_to_tva(spark, sf_dir):
 
 
 @query("n09_iban_check_digits", sql(DOC, """
-    SELECT document_id, cast(98 - (substr(iban, 5) || '152700')::hugeint % 97 AS integer) AS check_digits FROM doc
-    WHERE iban IS NOT NULL"""))
+    SELECT document_id, cast(98 - (substr(iban, 5) || '152700')::hugeint % 97 AS integer) AS check_digits FROM doc"""))
 def iban_check_digits(spark, sf_dir):
-    return _docs(spark, sf_dir).where("iban is not null").select(
+    return _docs(spark, sf_dir).select(
         "document_id", identifiers.iban_check_digits(F.substring("iban", 5, 23)).alias("check_digits"))
 
 

@@ -10,11 +10,15 @@ from dossierlens.storage import scratch_path
 from dossierlens.streaming import jobs
 
 
-def _landing(df, spark, name, files=4):
-    """Write the rows as several files, which the stream then takes one per micro-batch."""
+# Rows of a landed file and files of a micro-batch.
+FILE_ROWS, BATCH_FILES = 10_000, 4
+
+
+def _landing(df, spark, name):
+    """Write the rows as files cut by size, as the tasks have them, of which the stream takes several per micro-batch."""
     path = scratch_path(spark, name)
-    df.repartition(files).write.parquet(path)
-    return jobs.file_stream(spark, path, df.schema, max_files=1)
+    df.write.option("maxRecordsPerFile", FILE_ROWS).parquet(path)
+    return jobs.file_stream(spark, path, df.schema, max_files=BATCH_FILES)
 
 
 def _events(spark, sf_dir):
@@ -56,21 +60,23 @@ def stream_dashboard(spark, sf_dir):
 
 @query("t04_stream_dedupe", sql(EVT, "SELECT DISTINCT document_id FROM evt"))
 def stream_dedupe(spark, sf_dir):
+    """Repeats within a week are dropped by the stream, whose state is a week's ids; one that comes later is the same document
+    again, which the reader's snapshot settles."""
     docs = b.status_events(_events(spark, sf_dir)).withColumnRenamed("ts", "upload_timestamp")
-    path = _run(jobs.stream_dedupe(docs, "3650 days"), spark, "deduped", "append")
-    return spark.read.option("basePath", path).parquet(path).select("document_id")
+    path = _run(jobs.stream_dedupe(docs, "7 days"), spark, "deduped", "append")
+    return jobs.snapshot(spark, path, ["document_id"]).select("document_id")
 
 
 @query("t05_stream_sibling_check", sql(DOC, MISMATCH, """
     SELECT document_id, related_document_id, n_mismatch FROM mis"""))
 def stream_sibling_check(spark, sf_dir):
-    silver, findings = scratch_path(spark, "silver"), scratch_path(spark, "sibling-findings")
+    silver, conflicts = scratch_path(spark, "silver"), scratch_path(spark, "sibling-conflicts")
     docs = b.documents(spark, sf_dir).select(
         "document_id", "supplier_id", "original_filename", "doc_type", "status", "extracted")
-    stream = _landing(docs, spark, "sibling-input", 3)
+    stream = _landing(docs, spark, "sibling-input")
     jobs.stream_sibling_check(
-        stream, silver, findings, scratch_path(spark, "sibling-checkpoint"), b.AS_OF).awaitTermination()
-    return jobs.snapshot(spark, findings, ["document_id"]).select(
+        stream, silver, conflicts, scratch_path(spark, "sibling-ledger"), scratch_path(spark, "sibling-checkpoint")).awaitTermination()
+    return jobs.sibling_findings(spark, silver, conflicts, b.AS_OF).select(
         "document_id", "related_document_id", F.col("details")["siblings"].cast("bigint").alias("n_mismatch"))
 
 

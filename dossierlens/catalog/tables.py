@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from dossierlens import schemas
 from dossierlens.catalog import bindings as b
-from dossierlens.catalog.reference_sql import ANO, DOC, SUP, sql
-from dossierlens.catalog.registry import query
+from dossierlens.catalog.reference_sql import ANO, DOC, PRED, SUP, sql
+from dossierlens.catalog.registry import CHECKS, query
 from dossierlens.functions import text as tx
 from dossierlens.operators import extraction, filters, joins, ranking, rules, training
 from dossierlens.sources import readers, writers
@@ -125,18 +125,40 @@ def write_manifest(spark, sf_dir):
     return spark.read.schema(writers.manifest(planned, "/data").schema).json(path)
 
 
-@query("s11_training_report")
+@query("s11_training_report", sql(PRED, """
+    , p AS (SELECT *, doc_id % 5 AS fold FROM pred),
+    scopes AS (SELECT -1 AS fold UNION ALL SELECT * FROM range(5)),
+    s AS (SELECT s.fold AS scope_fold, p.label, p.prediction, p.confidence FROM scopes s JOIN p ON s.fold IN (-1, p.fold)),
+    cls AS (SELECT scope_fold, c, count(CASE WHEN label = c THEN 1 END) AS support, count(CASE WHEN prediction = c THEN 1 END) AS predicted,
+        count(CASE WHEN label = c AND prediction = c THEN 1 END) AS hits FROM s, (VALUES (0), (1)) v(c) GROUP BY scope_fold, c),
+    rep AS (SELECT *, CASE WHEN predicted = 0 THEN 0.0 ELSE hits::double / predicted END AS precision,
+        CASE WHEN support = 0 THEN 0.0 ELSE hits::double / support END AS recall, 2.0 * hits / (support + predicted) AS f1 FROM cls
+        WHERE support + predicted > 0),
+    met AS (SELECT scope_fold, sum(hits)::double / sum(support) AS accuracy, avg(f1) AS f1_macro, sum(f1 * support) / sum(support) AS f1_weighted,
+        sum(support)::double AS n_test FROM rep GROUP BY scope_fold),
+    overall AS (SELECT *, (SELECT avg(confidence) FROM pred WHERE label = prediction) AS sure FROM met WHERE scope_fold = -1),
+    cv AS (SELECT avg(f1_macro) AS m, stddev_pop(f1_macro) AS sd FROM met WHERE scope_fold >= 0)
+    SELECT scope, name, round(v, 6) AS number, text FROM (
+      SELECT 'overall' AS scope, unnest(['accuracy', 'f1_macro', 'f1_weighted', 'avg_confidence_correct', 'n_test']) AS name,
+        unnest([accuracy, f1_macro, f1_weighted, sure, n_test]) AS v, NULL::varchar AS text FROM overall
+      UNION ALL SELECT 'overall', 'verdict', NULL, CASE WHEN accuracy >= 0.92 AND f1_macro >= 0.90 THEN 'EXCELLENT' WHEN accuracy >= 0.85 AND f1_macro >= 0.82
+        THEN 'BON' WHEN accuracy >= 0.75 THEN 'ACCEPTABLE' ELSE 'INSUFFISANT' END FROM overall
+      UNION ALL SELECT 'overall', unnest(['cv_f1_macro_mean', 'cv_f1_macro_std']), unnest([m, sd]), NULL FROM cv
+      UNION ALL SELECT cast(c AS varchar), unnest(['precision', 'recall', 'f1', 'support']), unnest([precision, recall, f1, support::double]), NULL
+        FROM rep WHERE scope_fold = -1)"""))
 def training_report(spark, sf_dir):
+    """The report of a training run, written and read back; folds are dealt by the id."""
     path = scratch_path(spark, "training-report")
     rows = b.predictions(spark, sf_dir)
-    dealt = training.stratified_folds(rows, "doc_id")
     folds = reduce(lambda a, c: a.unionByName(c), [
-        training.evaluate(dealt.where(F.col("fold") == k), confidence="confidence").select("f1_macro") for k in range(training.FOLDS)])
+        training.evaluate(rows.where(F.col("doc_id") % training.FOLDS == k), confidence="confidence").select("f1_macro") for k in range(training.FOLDS)])
     report = writers.training_report(
         training.evaluate(rows, confidence="confidence"), training.cross_validation_summary(folds),
         training.per_class_report(rows))
     writers.write_training_report(report, path)
-    return spark.read.schema("scope string, name string, value string").json(path)
+    read = spark.read.schema("scope string, name string, value string").json(path)
+    number = F.col("value").try_cast("double")
+    return read.select("scope", "name", F.round(number, 6).alias("number"), F.when(number.isNull(), F.col("value")).alias("text"))
 
 
 @query("s13_flatten_registry", """
@@ -365,6 +387,29 @@ def page_suppliers(spark, sf_dir):
     return filters.page_suppliers(b.suppliers(spark, sf_dir).select("supplier_id", "name"), 10, 50)
 
 
+# The same pages, reached from the last row of the page before instead of by counting rows.
+
+@query("l01_page_documents_after", CHECKS["l01_page_documents"])
+def page_documents_after(spark, sf_dir):
+    docs = b.documents(spark, sf_dir).select("document_id", "upload_timestamp")
+    last = filters.page_documents(docs, limit=100).orderBy("upload_timestamp", F.desc("document_id")).first()
+    return filters.page_documents(docs, limit=50, after=(last.upload_timestamp, last.document_id))
+
+
+@query("l02_page_anomalies_after", CHECKS["l02_page_anomalies"])
+def page_anomalies_after(spark, sf_dir):
+    rows = b.anomalies(spark, sf_dir).select("anomaly_id", "detected_at")
+    last = filters.page_anomalies(rows, limit=20).orderBy("detected_at", F.desc("anomaly_id")).first()
+    return filters.page_anomalies(rows, limit=1000, after=(last.detected_at, last.anomaly_id))
+
+
+@query("l03_page_suppliers_after", CHECKS["l03_page_suppliers"])
+def page_suppliers_after(spark, sf_dir):
+    rows = b.suppliers(spark, sf_dir).select("supplier_id", "name")
+    last = filters.page_suppliers(rows, limit=10).orderBy(F.desc("supplier_id")).first()
+    return filters.page_suppliers(rows, limit=50, after=last.supplier_id)
+
+
 @query("l04_recent", sql(ANO, """
     SELECT anomaly_id, detected_at FROM ano WHERE NOT resolved ORDER BY detected_at DESC, anomaly_id LIMIT 8"""))
 def recent(spark, sf_dir):
@@ -402,6 +447,6 @@ def union_checks(spark, sf_dir):
 def union_classes(spark, sf_dir):
     rows = b.predictions(spark, sf_dir).withColumn("label", F.col("label").cast("string"))
     both = rows.where("label = '0'").unionByName(rows.where("label = '1'"))
-    shuffled = ranking.shuffled_rank(both.withColumn("all", F.lit(0)), ["all"], "doc_id", output="position")
+    shuffled = ranking.shuffled_rank(both, [], "doc_id", output="position")
     return shuffled.groupBy("label").agg(
         F.count_if(F.col("position") >= 0).alias("n"), F.sum("doc_id").alias("ids"))

@@ -9,6 +9,7 @@ LEGAL_RATES = [20.0, 10.0, 8.5, 5.5, 2.1]
 TEXT_RATE_TOLERANCE = 0.5
 COMPUTED_RATE_TOLERANCE = 1.0
 PLAUSIBLE_RATE_TOLERANCE = 2.0
+# Amounts from here on are taken for misread numbers where the reference behaviour is asked for.
 AMOUNT_LIMIT = 10_000_000.0
 COHERENCE_ABS_TOLERANCE = 1.0
 COHERENCE_REL_TOLERANCE = 0.005
@@ -19,10 +20,10 @@ TVA_RATE = "Incohérence HT×taux≠TVA : %s × %s%% = %s ≠ %s (écart %.2f€
 TVA_COHERENT = "Cohérence TVA vérifiée"
 
 
-def parse_amount(raw: Column, limit: float | None = AMOUNT_LIMIT) -> Column:
+def parse_amount(raw: Column, limit: float | None = None) -> Column:
     """``1 234,56`` / ``1.234,56`` / ``1234.56`` to a positive double, rounded to cents.
 
-    An amount from ``limit`` on is taken for a misread number and becomes NULL; None accepts every amount.
+    Every amount is accepted; with a ``limit`` (``AMOUNT_LIMIT``) those from it on are taken for misread numbers and become NULL.
     """
     compact = F.regexp_replace(raw, r"(?U)[\s ]", "")
     dotted = F.when(

@@ -9,7 +9,7 @@ from datetime import datetime
 from pyspark.sql import Column, functions as F
 
 # Limits of the business rules.
-YEAR_MIN, YEAR_MAX = 1990, 2050
+PLAUSIBLE_YEARS = (1990, 2050)
 EXPIRY_WARNING_DAYS = 30
 KBIS_VALIDITY_DAYS = 90
 KBIS_WARNING_DAYS = 14
@@ -37,7 +37,7 @@ def parse_iso(text: Column) -> Column:
     return F.when(text.rlike(r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$"), text.try_cast("date"))
 
 
-def _plausible(date: Column, years=(YEAR_MIN, YEAR_MAX)) -> Column:
+def _plausible(date: Column, years=None) -> Column:
     """ISO text of a date of the given years; others count as misread and become NULL. None accepts every year."""
     return date.cast("string") if years is None else F.when(F.year(date).between(*years), date.cast("string"))
 
@@ -46,9 +46,9 @@ def _rearranged(text: Column, pattern: str, order: str) -> Column:
     return F.regexp_replace(text, pattern, order).try_cast("date")
 
 
-def parse_numeric_date(raw: Column, strict_reference: bool = True, years=(YEAR_MIN, YEAR_MAX)) -> Column:
+def parse_numeric_date(raw: Column, strict_reference: bool = True, years=None) -> Column:
     """``d/m/y`` or ``y-m-d`` text to ISO text. The preferred order of the parts comes first; the other one only gives a
-    date when the preferred month exceeds twelve."""
+    date when the preferred month exceeds twelve. Every year is accepted, or those of ``years`` (``PLAUSIBLE_YEARS``)."""
     dmy = r"^\D*(\d{1,2})[/\-.](\d{1,2})[/\-.](\d{4})\D*$"
     ymd = r"^\D*(\d{4})[/\-.](\d{1,2})[/\-.](\d{1,2})\D*$"
     if strict_reference:
@@ -60,23 +60,23 @@ def parse_numeric_date(raw: Column, strict_reference: bool = True, years=(YEAR_M
         .when(raw.rlike(dmy), F.coalesce(_rearranged(raw, dmy, "$3-$2-$1"), _rearranged(raw, dmy, "$3-$1-$2"))), years)
 
 
-def parse_worded_date(raw: Column, strict_reference: bool = True) -> Column:
+def parse_worded_date(raw: Column, strict_reference: bool = True, years=None) -> Column:
     """``d month y`` text to ISO text."""
     worded = r"(?U)^\s*(\d{1,2})\s+(\p{L}+)\.?\s+(\d{4})\s*$"
     months = STRICT_MONTHS if strict_reference else FRENCH_MONTHS
     table = F.create_map(*[F.lit(part) for item in months.items() for part in (item[0], f"$3-{item[1]}-$1")])
     order = F.try_element_at(table, F.lower(F.regexp_extract(raw, worded, 2)))
-    return _plausible(F.regexp_replace(raw, F.lit(worded), order).try_cast("date"))
+    return _plausible(F.regexp_replace(raw, F.lit(worded), order).try_cast("date"), years)
 
 
-def parse_date(raw: Column, strict_reference: bool = True) -> Column:
+def parse_date(raw: Column, strict_reference: bool = True, years=None) -> Column:
     """Free-form date text to ISO text.
 
     Day comes first; day and month swap when the month would exceed twelve. With ``strict_reference`` a year-first date
     whose last part is at most twelve is read year-day-month and only abbreviations shared with English are month words;
     otherwise year-first means year-month-day and French month words are understood.
     """
-    return F.coalesce(parse_numeric_date(raw, strict_reference), parse_worded_date(raw, strict_reference))
+    return F.coalesce(parse_numeric_date(raw, strict_reference, years), parse_worded_date(raw, strict_reference, years))
 
 
 def days_until(date: Column, as_of: datetime) -> Column:

@@ -133,17 +133,6 @@ def vicinity(text: Column, start: Column, length: Column, margin: int) -> Column
     return F.substring(text, begin + 1, start + length + margin - begin)
 
 
-def match_starts(pattern: str, text: Column) -> Column:
-    """Zero-based start of every match, from the lengths of the pieces between matches and of the matches."""
-    pieces = F.split(text, pattern, -1)
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-
-    def total(items):
-        return F.aggregate(items, F.lit(0), lambda acc, item: acc + F.length(item))
-
-    return F.transform(found, lambda _, i: total(F.slice(pieces, 1, i + 1)) + total(F.slice(found, F.lit(1), i)))
-
-
 def dedupe_keep_order(items: Column) -> Column:
     return F.array_distinct(items)
 

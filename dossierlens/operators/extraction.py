@@ -40,6 +40,8 @@ NUMBER_ANY = r"(?iU)(?:n[o°]\s*:?|numéro\s*:?|ref[.\s]*:?)\s*([A-Z0-9\-_/]{4,2
 SIRET_LABELLED = r"(?iU)(?:siret|n[o°]?\s*siret)\s*[:\s]?\s*(\d[\d\s.\-]{12,18}\d)"
 SIRET_FREE = r"(?U)\b(\d{3}[\s.\-]?\d{3}[\s.\-]?\d{3}[\s.\-]?\d{5})\b"
 SIRET_WORD = r"(?iU)\bsiret\b"
+# Candidates hold no letters, so searching for both at once finds what searching for each finds.
+SIRET_OR_WORD = r"(?U)\b(?:\d{3}[\s.\-]?\d{3}[\s.\-]?\d{3}[\s.\-]?\d{5}|(?i:siret))\b"
 SIREN_LABELLED = r"(?iU)(?:siren|n[o°]?\s*siren)\s*[:\s]?\s*(\d[\d\s.\-]{7,11}\d)"
 TVA_NUMBER = r"(?iU)\b(FR[\s.\-]?[0-9A-Z]{2}[\s.\-]?\d{3}[\s.\-]?\d{3}[\s.\-]?\d{3})\b"
 IBAN_LABELLED = r"(?iU)(?:iban|i\.b\.a\.n\.?)\s*[:\s]?\s*(FR[\d\s]{20,35})"
@@ -66,16 +68,37 @@ TYPES_WITH_TVA_NUMBER = ["FACTURE", "DEVIS", "SIRET", "KBIS"]
 
 
 def nearest_siret(text: Column) -> Column:
-    """The 14-digit candidate nearest to the word SIRET; ties, and texts without the word, take the earliest one."""
-    candidates = F.regexp_extract_all(text, F.lit(SIRET_FREE), F.lit(1))
-    starts = tx.match_starts(SIRET_FREE, text)
-    words = tx.match_starts(SIRET_WORD, text)
-    ranked = F.array_sort(F.zip_with(starts, candidates, lambda start, candidate: F.struct(
-        F.coalesce(F.array_min(F.transform(words, lambda w: F.abs(start - w))), F.lit(0)).alias("distance"),
-        start.alias("start"),
-        candidate.alias("candidate"),
-    )))
-    return identifiers.clean_number(F.get(ranked, F.lit(0))["candidate"])
+    """The 14-digit candidate nearest to the word SIRET; ties, and texts without the word, take the earliest one.
+
+    One fold over the pieces between candidates and words, linear in their number: it carries the place reached, the last word and
+    the last candidate seen, and the best candidate so far. A candidate is as near as the last word before it or the next one
+    after it, and of the candidates before a word the last one is the nearest.
+    """
+    pieces = F.split(text, SIRET_OR_WORD, -1)
+    found = F.regexp_extract_all(text, F.lit(SIRET_OR_WORD), F.lit(0))
+    steps = F.zip_with(pieces, found, lambda piece, match: F.struct(F.length(piece).alias("gap"), match.alias("match")))
+    nothing = F.struct(F.lit(None).cast("int").alias("distance"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("string").alias("text"))
+    begin = F.struct(F.lit(0).alias("at"), F.lit(None).cast("int").alias("word"), nothing.alias("last"), nothing.alias("first"), nothing.alias("best"))
+
+    def candidate(distance, start, match):
+        return F.struct(distance.alias("distance"), start.alias("start"), match.alias("text"))
+
+    def step(acc, item):
+        start, match = acc["at"] + item["gap"], item["match"]
+        is_word = match.rlike(r"\p{L}")
+        here = candidate(F.lit(0), start, match)
+        before = F.when(acc["word"].isNotNull(), candidate(start - acc["word"], start, match))
+        after = F.when(acc["last"]["start"].isNotNull(), candidate(start - acc["last"]["start"], acc["last"]["start"], acc["last"]["text"]))
+        near = F.when(is_word, after).otherwise(before)
+        best = F.when(acc["best"]["start"].isNull(), near).otherwise(F.least(acc["best"], F.coalesce(near, acc["best"])))
+        return F.when(match.isNull(), acc).otherwise(F.struct(
+            (start + F.length(match)).alias("at"), F.when(is_word, start).otherwise(acc["word"]).alias("word"),
+            F.when(is_word, acc["last"]).otherwise(here).alias("last"),
+            F.when(is_word | acc["first"]["start"].isNotNull(), acc["first"]).otherwise(here).alias("first"),
+            F.coalesce(best, nothing).alias("best")))
+
+    chosen = F.aggregate(steps, begin, step, lambda acc: F.coalesce(acc["best"]["text"], acc["first"]["text"]))
+    return identifiers.clean_number(chosen)
 
 
 def extract_siret(text: Column) -> Column:
@@ -170,8 +193,10 @@ def extract_address(text: Column, single_line: bool = False) -> Column:
 
 
 def extract_fields(df: DataFrame, text_col: str = "ocr_text", type_col: str = "doc_type", output: str = "extracted",
-                   strict_reference: bool = True, single_line: bool = False) -> DataFrame:
-    """Add the ``extracted`` struct. Unlisted types follow the invoice rules, blank text gives NULL fields.
+                   strict_reference: bool = True, single_line: bool = False, amount_limit: float | None = None,
+                   years: tuple | None = None) -> DataFrame:
+    """Add the ``extracted`` struct. Unlisted types follow the invoice rules, blank text gives NULL fields. Amounts and dates of
+    any size count; ``amount_limit=amounts.AMOUNT_LIMIT`` and ``years=dates.PLAUSIBLE_YEARS`` drop what the reference drops.
 
     The steps are separate projections: raw captures, fallback captures for the rows that need them, parsed values, and
     the struct. A capture that is parsed is referred to many times, and generated code evaluates a shared expression once
@@ -183,7 +208,7 @@ def extract_fields(df: DataFrame, text_col: str = "ocr_text", type_col: str = "d
     with_expiry = kind.isin("DEVIS", "SIRET", "URSSAF", "KBIS")
 
     def parsed(name):
-        return dates.parse_numeric_date(F.col(name), strict_reference)
+        return dates.parse_numeric_date(F.col(name), strict_reference, years)
 
     def only(condition, pattern, group=1):
         # The input is gated, not the result: inside a branch the pattern would be planned twice.
@@ -214,9 +239,9 @@ def extract_fields(df: DataFrame, text_col: str = "ocr_text", type_col: str = "d
         },
         {
             "_siret": F.when(F.length("_siret_label") == 14, F.col("_siret_label")).otherwise(nearest_siret(body)),
-            "_ht": amounts.parse_amount(F.col("_ht_raw")),
-            "_tva": amounts.parse_amount(F.col("_tva_raw")),
-            "_ttc": amounts.parse_amount(F.col("_ttc_raw")),
+            "_ht": amounts.parse_amount(F.col("_ht_raw"), amount_limit),
+            "_tva": amounts.parse_amount(F.col("_tva_raw"), amount_limit),
+            "_ttc": amounts.parse_amount(F.col("_ttc_raw"), amount_limit),
             "_emission_label": parsed("_emission_raw"),
             "_echeance": parsed("_echeance_raw"),
             "_expiration_label": parsed("_expiration_raw"),
@@ -234,7 +259,7 @@ def extract_fields(df: DataFrame, text_col: str = "ocr_text", type_col: str = "d
         },
         {
             "_emission": F.coalesce(F.col("_emission_label"), parsed("_date_0"), parsed("_date_1"), *[
-                dates.parse_worded_date(F.col(f"_date_{i}"), strict_reference) for i in (2, 3)]),
+                dates.parse_worded_date(F.col(f"_date_{i}"), strict_reference, years) for i in (2, 3)]),
             "_rate": F.when(with_amounts, rate_of(F.col("_rate_raw"), F.col("_montant_ht"), F.col("_montant_tva"))),
         },
         {

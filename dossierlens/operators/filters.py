@@ -102,8 +102,26 @@ def validate_supplier_input(df):
     return judged.where(F.size("problems") == 0).drop("problems"), judged.where(F.size("problems") > 0)
 
 
-def sparse_update(df: DataFrame, patch: DataFrame, key: str, as_of: datetime = None) -> DataFrame:
-    """Overwrite columns with the non-null values of at most one patch row per key."""
+def _tie(df: DataFrame, columns: list):
+    """Text that orders rows which nothing else does: equal texts mean equal values."""
+    return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}) if columns else F.lit("")
+
+
+def reduce_patches(patch: DataFrame, key: str, order: list = ()) -> DataFrame:
+    """One row per key: for every field the last value that is not null, in the order of the columns ``order``.
+
+    Patches of one place in the order, or without any, are settled by their values (the greatest JSON text), so the result never
+    depends on how rows arrive. The order columns are not part of the result.
+    """
+    fields = [c for c in patch.columns if c != key and c not in order]
+    last = [F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(*order, _tie(patch, [c]).alias("_tie")))).alias(c) for c in fields]
+    return patch.groupBy(key).agg(*last) if last else patch.select(key).distinct()
+
+
+def sparse_update(df: DataFrame, patch: DataFrame, key: str, as_of: datetime = None, order: list = ()) -> DataFrame:
+    """Overwrite columns with the non-null values of the patch rows of a key; of several the last one counts, field by field
+    (``reduce_patches``). Rows of ``df`` are never multiplied."""
+    patch = reduce_patches(patch, key, order)
     fields = [c for c in patch.columns if c != key]
     renamed = patch.select(key, *[F.col(c).alias(f"_{c}") for c in fields])
     joined = df.join(renamed, key, "left")
@@ -136,20 +154,37 @@ def expiration_anomalies(df, limit=None) -> DataFrame:
     return found if limit is None else found.limit(limit)
 
 
-def _page(df, order, skip, limit) -> DataFrame:
-    return df.orderBy(*order).offset(skip).limit(limit)
+def _page(df, newest, key, skip, limit, after) -> DataFrame:
+    """A page in order of ``newest`` (descending, if given) and ``key``.
+
+    ``after`` is the last row of the page before: its (time, key), or its key where there is no time. The page then is a top-k over
+    the rows behind that place, a filter that reaches the files' statistics, however far the page is: a task keeps ``limit`` rows.
+    ``skip`` counts from the start instead, which makes every task keep ``skip + limit`` rows.
+    """
+    if after is not None:
+        if newest is None:
+            df = df.where(F.col(key) > after)
+        else:
+            time, last = after
+            # The first condition follows from the second; alone it can be compared with the range of a row group.
+            df = df.where(F.col(newest) <= F.lit(time)).where((F.col(newest) < F.lit(time)) | (F.col(key) > last))
+    order = [key] if newest is None else [F.desc(newest), key]
+    return (df.orderBy(*order).offset(skip) if skip else df.orderBy(*order)).limit(limit)
 
 
-def page_documents(df, skip=0, limit=50) -> DataFrame:
-    return _page(df, [F.desc("upload_timestamp"), "document_id"], skip, limit)
+def page_documents(df, skip=0, limit=50, after=None) -> DataFrame:
+    """``after``: (upload_timestamp, document_id) of the last document of the page before."""
+    return _page(df, "upload_timestamp", "document_id", skip, limit, after)
 
 
-def page_anomalies(df, skip=0, limit=100) -> DataFrame:
-    return _page(df, [F.desc("detected_at"), "anomaly_id"], skip, limit)
+def page_anomalies(df, skip=0, limit=100, after=None) -> DataFrame:
+    """``after``: (detected_at, anomaly_id) of the last finding of the page before."""
+    return _page(df, "detected_at", "anomaly_id", skip, limit, after)
 
 
-def page_suppliers(df, skip=0, limit=50) -> DataFrame:
-    return _page(df, ["supplier_id"], skip, limit)
+def page_suppliers(df, skip=0, limit=50, after=None) -> DataFrame:
+    """``after``: supplier_id of the last supplier of the page before."""
+    return _page(df, None, "supplier_id", skip, limit, after)
 
 
 def recent(df, n=8, time_col="upload_timestamp", key="document_id") -> DataFrame:

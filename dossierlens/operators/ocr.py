@@ -21,9 +21,14 @@ OCR_CONFIGS = [
 IMAGE_MIMES = ["image/jpeg", "image/png", "image/tiff", "image/bmp", "image/webp"]
 
 
-def reconstruct_lines(words: DataFrame, min_conf: float = MIN_WORD_CONFIDENCE) -> DataFrame:
-    """One row per ``document_id, page, pass_no``: text with its line structure and mean confidence of the kept words."""
+def reconstruct_lines(words: DataFrame, min_conf: float = MIN_WORD_CONFIDENCE, by: list = None) -> DataFrame:
+    """One row per ``document_id, page, pass_no``: text with its line structure and mean confidence of the kept words.
+
+    Words are shuffled once: lines and pages are both groups within the partitioning by page, or by the keys ``by`` that a caller
+    goes on grouping by. Words do not combine before the shuffle, as every one of them is part of the text.
+    """
     page_keys = ["document_id", "page", "pass_no"]
+    words = words.repartition(*(by or page_keys))
     line_keys = ["block_num", "par_num", "line_num"]
     word = tx.strip(F.col("text"))
     kept = (F.col("conf") >= min_conf) & (word != "")

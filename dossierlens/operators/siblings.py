@@ -49,10 +49,14 @@ def siret_counts(rows: DataFrame) -> DataFrame:
         F.min(F.when(F.col("sibling"), F.struct("document_id", "original_filename"))).alias("first"))
 
 
-def mismatches(rows: DataFrame) -> DataFrame:
+def mismatches(rows: DataFrame, work=None) -> DataFrame:
     """What the documents of a (supplier, SIRET) conflict with, for the groups that conflict with anything: ``n_mismatch``
     siblings, ``n_fresh`` of them from this run, under ``n_other_sirets`` SIRETs, and ``related``, the one with the smallest id."""
-    groups = stage(siret_counts(rows), "siret_groups")
+    return stage(group_conflicts(stage(siret_counts(rows), "siret_groups", work)), "siret_mismatches", work)
+
+
+def group_conflicts(groups: DataFrame) -> DataFrame:
+    """``mismatches`` from counted groups; whole suppliers, of any number."""
     named = groups.withColumn("first", F.when(
         F.col("first").isNotNull(), F.struct("first.document_id", "first.original_filename", "siret")))
     totals = named.groupBy("supplier_id").agg(
@@ -62,12 +66,12 @@ def mismatches(rows: DataFrame) -> DataFrame:
     joined = named.join(totals, "supplier_id")
     # A group that holds the smallest sibling of its supplier itself needs the smallest one of the other groups.
     second = joined.where(F.col("siret") != F.col("lowest.siret")).groupBy("supplier_id").agg(F.min("first").alias("second"))
-    return stage(joined.join(second, "supplier_id").select(
+    return joined.join(second, "supplier_id").select(
         *GROUP, (F.col("all_siblings") - F.col("n_siblings")).alias("n_mismatch"),
         (F.col("all_fresh") - F.col("n_fresh")).alias("n_fresh"),
         (F.col("all_sirets") - F.col("first").isNotNull().cast("long")).alias("n_other_sirets"),
         F.when(F.col("siret") == F.col("lowest.siret"), F.col("second")).otherwise(F.col("lowest")).alias("related"),
-    ).where("n_mismatch > 0"), "siret_mismatches")
+    ).where("n_mismatch > 0")
 
 
 def mismatch_counts(docs: DataFrame, types: list = None) -> DataFrame:

@@ -66,7 +66,8 @@ def unnest(local: DataFrame, column: str, filled: str) -> DataFrame:
     return local.select("document_id", "supplier_id", F.inline_outer(column)).where(F.col(filled).isNotNull())
 
 
-def validate_documents(docs: DataFrame, as_of: datetime, stored: DataFrame = None, types: list = None) -> Validated:
+def validate_documents(docs: DataFrame, as_of: datetime, stored: DataFrame = None, types: list = None,
+                       work=None) -> Validated:
     """Validate every document against the rules of its type and against its siblings.
 
     A document that conflicts with siblings gets one check and one finding with their number and the smallest of their ids.
@@ -79,7 +80,7 @@ def validate_documents(docs: DataFrame, as_of: datetime, stored: DataFrame = Non
     local = docs if judged else rules.apply_local_rules(docs, as_of)
     types = siblings.TYPES_COMPARED if types is None else types
     rows = siblings.with_stored(docs, stored, types)
-    conflicts = siblings.mismatches(rows)
+    conflicts = siblings.mismatches(rows, work)
     found = siblings.mismatching(rows, conflicts)
 
     own_siret = F.when(F.col("doc_type").isin(types), F.col("extracted.siret"))

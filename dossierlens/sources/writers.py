@@ -76,14 +76,19 @@ def write_training_report(report: DataFrame, path: str, mode: str = "overwrite")
     report.write.mode(mode).json(path)
 
 
-def merge_documents(target: DataFrame, updates: DataFrame, key: str = "document_id") -> DataFrame:
-    """Partial update: non-null columns of the update replace those of the document with the same key."""
-    return filters.sparse_update(target, updates, key)
-
-
-def insert_if_absent(new: DataFrame, existing: DataFrame, key: str) -> DataFrame:
-    """Rows whose key is neither stored yet nor repeated within the batch."""
-    return new.dropDuplicates([key]).join(existing.select(key), key, "left_anti")
+def merge_documents(target: DataFrame, updates: DataFrame, key: str = "document_id", order: list = ()) -> DataFrame:
+    """Partial update: non-null columns of the update replace those of the document with the same key, the last one in ``order``
+    where there are several."""
+    return filters.sparse_update(target, updates, key, order=order)
+
+
+def insert_if_absent(new: DataFrame, existing: DataFrame, key: str, order: list = ()) -> DataFrame:
+    """Rows whose key is not stored yet. Of several new rows of a key the first in ``order`` is inserted, as if they had come one
+    by one; without an order, or at the same place of it, the one whose JSON text is smallest. Rows of null key are one key."""
+    row = F.struct(*new.columns)
+    place = F.struct(*order, F.to_json(row, {"ignoreNullFields": "false"}).alias("_tie"))
+    first = new.groupBy(key).agg(F.min_by(row, place).alias("_row")).select("_row.*").select(*new.columns)
+    return first.join(existing.select(key), key, "left_anti")
 
 
 def conflicts(new: DataFrame, existing: DataFrame, key: str) -> DataFrame:

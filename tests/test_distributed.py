@@ -4,7 +4,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from dossierlens.operators import classify, ocr, ranking, siblings, synth, training
+from dossierlens.operators import classify, joins, ocr, ranking, siblings, synth, training
 from dossierlens.plans.processing import process_documents
 from dossierlens.sources import readers, writers
 
@@ -70,12 +70,30 @@ def test_stored_documents_are_restated(spark):
 
 def test_ranks(spark):
     df = spark.range(500).selectExpr("concat('k', lpad(id, 4, '0')) as k", "id % 3 as label")
-    wrong = ranking.global_row_number(df.repartition(5), "k", buckets=9).where("row_index <> cast(substr(k, 2) as int)")
+    wrong = ranking.global_row_number(df.repartition(5), "k", partition_rows=60).where("row_index <> cast(substr(k, 2) as int)")
     assert wrong.count() == 0
     ranks = ranking.shuffled_rank(df, ["label"], "k")
     again = ranking.shuffled_rank(df.repartition(3), ["label"], "k")
     assert sorted(map(tuple, ranks.collect())) == sorted(map(tuple, again.collect()))
     assert sorted(r.rank for r in ranks.where("label = 0").collect()) == list(range(167))
+    for rows in (60, 1000):  # a class over several partitions, and several classes in one
+        parts = ranking.shuffled_rank(df, ["label"], "k", total="n", partition_rows=rows).collect()
+        assert sorted(tuple(r)[:3] for r in parts) == sorted(map(tuple, ranks.collect())) and {r.n for r in parts} == {166, 167}
+
+
+def exchanges(df):
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    return plan.count("Exchange hashpartitioning") + plan.count("Exchange SinglePartition"), plan.count("Scan "), plan.count("ubquery")
+
+
+def test_rank_plans(spark):
+    df = spark.range(5000).selectExpr("concat('k', id) as k", "cast(id % 3 as int) as label")
+    shuffles, scans, subqueries = exchanges(training.stratified_split(df, "k"))
+    assert shuffles <= 2 and subqueries == 0
+    suppliers = spark.range(500).selectExpr("concat('s', lpad(id, 4, '0')) as supplier_id")
+    shuffles, scans, subqueries = exchanges(joins.expand_document_plan(suppliers))
+    assert shuffles == 0 and scans <= 2 and subqueries == 0
 
 
 def test_noise_is_reproducible_and_grows(spark):

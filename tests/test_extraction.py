@@ -1,5 +1,9 @@
 """Extraction on hand-written texts, including the documented oddities."""
 
+import random
+import re
+import time
+
 from pyspark.sql import functions as F
 
 from dossierlens.operators import extraction as ex
@@ -16,6 +20,32 @@ def test_siret_nearest_to_word(spark):
     assert one(spark, ex.extract_siret, "rien") is None
 
 
+def nearest(text):
+    words = [m.start() for m in re.finditer(r"\bsiret\b", text, re.I)]
+    found = [(m.start(), m[0]) for m in re.finditer(r"\b\d{3}[\s.\-]?\d{3}[\s.\-]?\d{3}[\s.\-]?\d{5}\b", text)]
+    best = min(found, key=lambda c: (min([abs(c[0] - w) for w in words], default=0), c[0]), default=(0, None))[1]
+    return best and re.sub(r"[\s.\-]", "", best)
+
+
+def test_nearest_siret_is_that_of_all_pairs(spark):
+    random.seed(5)
+    pieces = ["12345678901234", "111 222 333 44444", "SIRET", "siret", "mot", "xx", "99999999999999", "1234", "SIRETS", "\n"]
+    texts = [" ".join(random.choices(pieces, k=random.randrange(12))) for _ in range(300)] + [""]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", ex.nearest_siret(F.col("t")).alias("v")).collect()
+    assert [(r.t, r.v) for r in rows] == [(t, nearest(t)) for t in texts]
+
+
+def test_nearest_siret_is_linear(spark):
+    def seconds(n):
+        df = spark.createDataFrame([(" ".join(f"{10**13 + i}" for i in range(n)) + " siret 99999999999999",)], "t string").select(ex.nearest_siret(F.col("t")).alias("v"))
+        started = time.perf_counter()
+        assert df.first().v == "99999999999999"
+        return time.perf_counter() - started
+    seconds(100)
+    small, large = min(seconds(10_000) for _ in range(2)), min(seconds(40_000) for _ in range(2))
+    assert large < 10 * small + 1 and large < 20
+
+
 def test_bic(spark):
     assert one(spark, ex.extract_bic, "Code BIC : BNPA FRPP XXX.") == "BNPAFRPPXXX"
     near = "Compte FR76 3000 6000 0112 3456 7890 189 - AGRIFRPP - agence"

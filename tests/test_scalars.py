@@ -75,7 +75,7 @@ def test_tva_number(spark):
     ("05/03/2024", "2024-03-05", "2024-03-05"), ("03/25/2024", "2024-03-25", "2024-03-25"),
     ("2024-03-05", "2024-05-03", "2024-03-05"), ("2024-03-25", "2024-03-25", "2024-03-25"),
     ("31/02/2024", None, None), ("13/25/2024", None, None), ("12 jan. 2024", "2024-01-12", "2024-01-12"),
-    ("12 février 2024", None, "2024-02-12"), ("1/1/1980", None, None), (None, None, None)])
+    ("12 février 2024", None, "2024-02-12"), ("1/1/1980", "1980-01-01", "1980-01-01"), (None, None, None)])
 def test_parse_date(spark, raw, strict, free):
     assert one(spark, dates.parse_date(text(raw))) == strict
     assert one(spark, dates.parse_date(text(raw), strict_reference=False)) == free
@@ -83,9 +83,17 @@ def test_parse_date(spark, raw, strict, free):
 
 @pytest.mark.parametrize("raw,value", [
     ("1 234,56", 1234.56), ("1.234,56", 1234.56), ("1234.56", 1234.56), ("1 234,5", 1234.5), ("0", None),
-    ("10000000", None), ("abc", None), ("", None)])
+    ("12 000 000,5", 12000000.5), ("abc", None), ("", None)])
 def test_parse_amount(spark, raw, value):
     assert one(spark, amounts.parse_amount(text(raw))) == value
+    limited = None if value and value >= amounts.AMOUNT_LIMIT else value
+    assert one(spark, amounts.parse_amount(text(raw), amounts.AMOUNT_LIMIT)) == limited
+
+
+@pytest.mark.parametrize("raw", ["13/02/1985", "13 mar 2051"])
+def test_years_of_dates(spark, raw):
+    assert one(spark, dates.parse_date(text(raw))) is not None
+    assert one(spark, dates.parse_date(text(raw), years=dates.PLAUSIBLE_YEARS)) is None
 
 
 def test_text_functions(spark):
@@ -94,6 +102,5 @@ def test_text_functions(spark):
     assert one(spark, tx.fix_numeric_ocr(F.lit("73282932000074 SIRET"), digits_only=True)) == "73282932000074 SIRET"
     assert one(spark, tx.clean_ocr_text(F.lit("0RACLE  A0\n\n\n--\n|  §IRET\n"))) == "ORACLE AO\nI SIRET"
     assert one(spark, tx.title_case(F.lit("caisse d'épargne"))) == "Caisse D'Épargne"
-    assert one(spark, tx.match_starts("ab", F.lit("abxabab"))) == [0, 3, 5]
     assert one(spark, tx.word_count(F.lit("  a  b c "))) == 3
     assert one(spark, tx.normalize_for_tfidf(F.lit("Total 1 234,56 € le 01/02/2024"))) == "total montant_eur le date_doc"
