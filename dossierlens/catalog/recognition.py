@@ -22,6 +22,25 @@ def text_files(spark, sf_dir):
     return accepted.select(F.concat(F.lit("doc-"), F.regexp_extract("path", "doc_id=([0-9]+)", 1)).alias("document_id"), "mime_type", "content")
 
 
+@query("s01_read_raw", """
+    SELECT 'doc-' || doc_id AS document_id, 'text/plain' AS mime_type, cast(strlen(coalesce(text, '')) + 1 AS bigint) AS length FROM documents""")
+def read_raw(spark, sf_dir):
+    return text_files(spark, sf_dir).select("document_id", "mime_type", F.octet_length("content").cast("bigint").alias("length"))
+
+
+@query("s02_decode_text", r"""
+    WITH c AS (SELECT doc_id, regexp_replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '0([A-Z])', 'O\1', 'g'),
+        '([A-Z])0', '\1O', 'g'), '\|', 'I', 'g'), '§IRET', 'SIRET'), '§IREN', 'SIREN'), '[ \t]+', ' ', 'g') AS t FROM documents),
+    l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM c),
+    j AS (SELECT doc_id, trim(string_agg(line, chr(10) ORDER BY i), ' ' || chr(9) || chr(10) || chr(13)) AS t FROM l
+        WHERE regexp_matches(line, '[a-zA-Z0-9€]') GROUP BY doc_id)
+    SELECT 'doc-' || doc_id AS path, md5(coalesce(j.t, '')) AS text_hash, 1.0::double AS confidence, 'plain_text' AS method,
+      cast(len(regexp_extract_all(coalesce(j.t, ''), '[^ \t\r\n]+')) AS integer) AS word_count FROM c LEFT JOIN j USING (doc_id)""")
+def decode_text(spark, sf_dir):
+    files = text_files(spark, sf_dir).withColumnRenamed("document_id", "path")
+    return readers.decode_text(files).select("path", F.md5(F.col("text").cast("binary")).alias("text_hash"), "confidence", "method", "word_count")
+
+
 def scanned_files(spark, sf_dir):
     return b.table(spark, sf_dir, "conversations").select("conv_id").distinct().selectExpr(
         "concat('conv-', conv_id) as document_id", f"{MIME} as mime_type", "cast('%PDF' as binary) as content")

@@ -183,7 +183,7 @@ def flatten_registry(spark, sf_dir):
           'typeVoieEtablissement', case when s_suppkey % 3 <> 0 then 'RUE' else '' end,
           'libelleVoieEtablissement', case when s_suppkey % 3 <> 0 then 'HAUTE' end,
           'codePostalEtablissement', '75001', 'libelleCommuneEtablissement', n_name))) as etablissements""").write.json(path)
-    return readers.flatten_registry(spark.read.schema(schemas.REGISTRY).json(path))
+    return readers.flatten_registry(readers.read_registry(spark, path, lines=True))
 
 
 @query("s14_insert_if_absent", sql(SUP, """

@@ -23,6 +23,7 @@ MSG_MISMATCH = "Incohérence SIRET : %s (%s) ≠ %s (%s)"
 TYPES_COMPARED = ["FACTURE", "URSSAF", "KBIS", "RIB", "SIRET"]
 
 GROUP = ["supplier_id", "siret"]
+PAIR_SALTS = 16
 
 
 def comparable(docs: DataFrame, types: list = None, fresh: Column = None) -> DataFrame:
@@ -95,15 +96,21 @@ def sibling_siret_mismatch(docs: DataFrame, types: list = None, stored: DataFram
     return mismatching(rows, mismatches(rows))
 
 
-def sibling_pairs(docs: DataFrame, for_documents: DataFrame, types: list = None) -> DataFrame:
-    """The differing siblings of the documents listed in ``for_documents`` (``document_id``), one row each."""
+def sibling_pairs(docs: DataFrame, for_documents: DataFrame, types: list = None, salts: int = PAIR_SALTS) -> DataFrame:
+    """The differing siblings of the documents listed in ``for_documents`` (``document_id``), one row each.
+
+    The documents of a supplier are dealt to ``salts`` parts and each asked document, of which there are few, looks into all of
+    them, so a supplier with very many documents is not one task.
+    """
     rows = comparable(docs, types)
     asking = rows.where("compared").join(for_documents.select("document_id"), "document_id", "left_semi").select(
-        "document_id", "supplier_id", "siret")
+        "document_id", "supplier_id", "siret").withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     answering = rows.where("sibling").select(
         "supplier_id", F.col("document_id").alias("sibling_document_id"),
-        F.col("original_filename").alias("sibling_filename"), F.col("siret").alias("sibling_siret"))
-    return asking.join(answering, "supplier_id").where("siret <> sibling_siret and document_id <> sibling_document_id")
+        F.col("original_filename").alias("sibling_filename"), F.col("siret").alias("sibling_siret"),
+        F.pmod(F.xxhash64("document_id"), F.lit(salts)).cast("int").alias("_part"))
+    return asking.join(answering, ["supplier_id", "_part"]).drop("_part").where(
+        "siret <> sibling_siret and document_id <> sibling_document_id")
 
 
 def mismatch_message() -> Column:

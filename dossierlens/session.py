@@ -1,5 +1,9 @@
 """Session settings that the jobs are written for."""
 
+import os
+import tempfile
+import zipfile
+
 from pyspark.sql import SparkSession
 
 # The wide projections of extraction and validation exceed the size up to which the JVM compiles one method. With this
@@ -16,3 +20,24 @@ def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
     return builder
+
+
+_shipped = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the Python workers this package, once per application. The driver may have found it through a path that executors do
+    not have; Spark serves the archive to them."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="package-"), "dossierlens.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for folder, _, names in os.walk(package):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(package)))
+    context.addPyFile(archive)
+    _shipped.add(context.applicationId)

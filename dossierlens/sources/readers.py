@@ -59,8 +59,10 @@ read_ocr_words = _table(schemas.OCR_WORD)
 read_training_rows = _table(schemas.TRAINING_ROW)
 
 
-def read_registry(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.REGISTRY).option("multiLine", "true").json(path)
+def read_registry(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Responses of the company registry. A response that spans lines can only be read whole, by one task a file, which suits files
+    of single responses; with ``lines`` a file holds one response per line and is split like any text."""
+    return spark.read.schema(schemas.REGISTRY).option("multiLine", str(not lines).lower()).json(path)
 
 
 def flatten_registry(registry: DataFrame) -> DataFrame:
