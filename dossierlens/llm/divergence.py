@@ -2,10 +2,11 @@
 
 Kept terms (those in at least ``min_docs`` documents of a language) are found by iceberg prefix refinement. Level 1 counts, per
 language, the documents that hold each prefix of ``FIRST`` bytes, and whole terms up to that length. The next level extends only
-prefixes that reached the threshold, to twice the length, and so on until no incomplete prefix is left. A prefix is in at least as
+prefixes that reached the threshold, to three times the length, and so on until no incomplete prefix is left. A prefix is in at least as
 many documents as each of its terms, so a term whose prefix fails is never counted: the many rare long terms of a large corpus
-leave the tasks as short prefixes only. Counts are added up inside the tasks (flushed every ``FLUSH`` entries) and per key after
-the shuffle, whole terms with their source, so that the level that completes a term also gives its occurrences.
+leave the tasks as short prefixes only. Counts are added up inside the tasks (flushed beyond ``FLUSH`` entries), whole terms also
+per source, so that the level that completes a term gives its occurrences. They are shuffled packed, many terms in a row, by
+language and a hash bucket of the term, and added up per bucket; the buckets grow in number with the documents.
 
 The surviving prefixes go to the next level as a bit set of at most ``BITS`` bits (16 MB). Where two prefixes share a bit, terms
 of a failed one are counted as well; the exact count of whole terms decides in any case, so this costs time only.
@@ -21,6 +22,7 @@ Other columns are not read, whatever their names. Texts of any length are read i
 of one document are held in memory.
 """
 
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -32,9 +34,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 from dossierlens.llm.running import running
 from dossierlens.storage import stage
 
-FIRST, MIN_DOCS, TOP = 6, 3, 200
+FIRST, STEP, MIN_DOCS, TOP = 8, 3, 3, 200
 BITS = 1 << 27
-FLUSH, PIECE_BYTES = 300_000, 1 << 20
+FLUSH, PIECE_BYTES, BUCKET_DOCS = 400_000, 1 << 20, 16_000
 TERMS, SOURCES = 2048, 256
 SCALE = 1_000_000_000
 # Bytes of terms: letters, in lower case, and all of non-ASCII characters; the rest separates.
@@ -56,70 +58,120 @@ def prefix_hash(lang: bytes, prefix: bytes) -> int:
     return xxhash.xxh64_intdigest(prefix, xxhash.xxh64_intdigest(lang, 42))
 
 
-def _counted(shortest: int, longest: int, alive):
-    """Terms of more than ``shortest`` bytes whose prefix of that length is alive: whole up to ``longest`` bytes, else its prefix."""
-    names = ["lang", "source", "term", "whole", "docs", "n"]
+COUNTS = "lang string, bucket int, kind int, source string, terms binary, counts binary"
+# What a packed row counts: documents with a whole term, documents with a longer term of this prefix, occurrences in a source.
+TERM_DOCS, PREFIX_DOCS, OCCURRENCES = 0, 1, 2
+
+
+def _counted(shortest: int, longest: int, alive, buckets: int):
+    """Counts the terms of more than ``shortest`` bytes whose prefix of that length is alive: whole up to ``longest`` bytes, else
+    their prefix of that length. Rows are packed: all terms of a language, bucket, kind and source of a task's turn in one."""
+    names = ["lang", "bucket", "kind", "source", "terms", "counts"]
 
     def local(batches):
-        docs, occurrences, prefixes, known = defaultdict(Counter), defaultdict(Counter), defaultdict(Counter), {}
+        docs, occurrences, prefixes = defaultdict(Counter), defaultdict(Counter), defaultdict(Counter)
+        living, dead = defaultdict(set), defaultdict(set)
         bits = alive.value if alive else None
-        size = 0
 
-        def survives(lang, prefix):
-            found = known.get((lang, prefix))
-            if found is None:
+        def screened(lang, terms):
+            """The terms whose prefix is not known to be in too few documents."""
+            live, gone = living[lang], dead[lang]
+            begins = {t[:shortest] for t in terms}
+            for prefix in begins - live - gone:
                 at = prefix_hash(lang, prefix) % (len(bits) * 64)
-                found = known[lang, prefix] = bool(int(bits[at >> 6]) >> (at & 63) & 1)
-            return found
-
-        def rows(lang, source, terms, whole, n):
-            k = len(terms)
-            return pa.RecordBatch.from_arrays([
-                pa.array([lang] * k, pa.string()), pa.array([source] * k, pa.string()), pa.array(list(terms), pa.binary()), pa.array([whole] * k, pa.bool_()),
-                pa.array(list(terms.values()), pa.int64()), pa.array(n, pa.int64())], names=names)
+                (live if int(bits[at >> 6]) >> (at & 63) & 1 else gone).add(prefix)
+            lost = begins & gone
+            return [t for t in terms if t[:shortest] not in lost] if lost else terms
 
         def out():
-            for (lang, source), seen in docs.items():
-                yield rows(lang.decode(), source.decode(), seen, True, [occurrences[lang, source][t] for t in seen])
-            for lang, seen in prefixes.items():
-                yield rows(lang.decode(), None, seen, False, [None] * len(seen))
+            for kind, tables in ((TERM_DOCS, docs), (PREFIX_DOCS, prefixes), (OCCURRENCES, occurrences)):
+                for key, seen in tables.items():
+                    lang, source = key if kind == OCCURRENCES else (key, None)
+                    parts = defaultdict(list)
+                    for t in seen:
+                        if len(t) <= longest:
+                            parts[zlib.crc32(t) % buckets].append(t)
+                    rows = list(parts.items())
+                    if rows:
+                        yield pa.RecordBatch.from_arrays([
+                            pa.array([lang.decode()] * len(rows), pa.string()), pa.array([number for number, _ in rows], pa.int32()),
+                            pa.array([kind] * len(rows), pa.int32()), pa.array([None if source is None else source.decode()] * len(rows), pa.string()),
+                            pa.array([b" ".join(terms) for _, terms in rows], pa.binary()),
+                            pa.array([np.array([seen[t] for t in terms], np.int64).tobytes() for _, terms in rows], pa.binary())], names=names)
 
         for batch in batches:
             for lang, source, text in zip(*[batch.column(k).to_pylist() for k in range(3)]):
                 lang, source = lang.encode(), source.encode()
-                n = Counter()
-                for piece in term_pieces(text):
-                    n.update(t for t in piece if len(t) > shortest) if shortest else n.update(piece)
-                if shortest:
-                    n = {t: k for t, k in n.items() if survives(lang, t[:shortest])}
-                whole = {t: k for t, k in n.items() if len(t) <= longest}
-                seen, total, begun = docs[lang, source], occurrences[lang, source], prefixes[lang]
-                size -= len(seen) + len(begun)
-                seen.update(whole.keys())
-                for t, k in whole.items():
-                    total[t] += k
-                if len(whole) < len(n):
-                    begun.update({t[:longest] for t in n if len(t) > longest})
-                size += len(seen) + len(begun)
-                if size > FLUSH:
-                    yield from out()
-                    docs.clear(), occurrences.clear(), prefixes.clear()
-                    size = 0
-            if len(known) > FLUSH:
-                known.clear()
+                total, distinct = occurrences[lang, source], set()
+                for terms in term_pieces(text):
+                    if shortest:
+                        terms = screened(lang, [t for t in terms if len(t) > shortest])
+                    total.update(terms)
+                    distinct.update(terms)
+                # Longer terms are counted as well, which is cheaper than to sort them out here, and left behind in out().
+                docs[lang].update(distinct)
+                prefixes[lang].update({t[:longest] for t in distinct if len(t) > longest})
+            if sum(map(len, occurrences.values())) + sum(map(len, docs.values())) + sum(map(len, prefixes.values())) > FLUSH:
+                yield from out()
+                docs.clear(), occurrences.clear(), prefixes.clear()
+            if sum(map(len, living.values())) + sum(map(len, dead.values())) > FLUSH:
+                living.clear(), dead.clear()
         yield from out()
     return local
 
 
-def _alive(prefixes: DataFrame, min_docs: int):
-    """The bit set of the prefixes in enough documents, as a broadcast; None if there are none."""
-    kept = stage(prefixes.groupBy("lang", "term").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs).select("lang", "term"), "prefixes")
-    n = kept.count()
+def _merged(min_docs: int):
+    """Adds up packed rows that arrive in order of (lang, bucket) and unpacks what is in enough documents: terms with their
+    occurrences per source and in the language, and prefixes (source null)."""
+    names = ["lang", "source", "term", "whole", "n", "lang_n", "lead"]
+
+    def merge(batches):
+        now, tables, occurrences = None, (Counter(), Counter()), defaultdict(Counter)
+
+        def out():
+            lang = now[0]
+            kept = {t for t, n in tables[TERM_DOCS].items() if n >= min_docs}
+            total, led = Counter(), set()
+            for found in occurrences.values():
+                for t, n in found.items():
+                    if t in kept:
+                        total[t] += n
+            for source, found in sorted(occurrences.items()):
+                terms = [t for t in found if t in kept]
+                lead = [t not in led for t in terms]
+                led.update(terms)
+                yield rows(lang, source, terms, True, [found[t] for t in terms], [total[t] for t in terms], lead)
+            alive = [t for t, n in tables[PREFIX_DOCS].items() if n >= min_docs]
+            yield rows(lang, None, alive, False, [None] * len(alive), [None] * len(alive), [None] * len(alive))
+
+        def rows(lang, source, terms, whole, n, lang_n, lead):
+            k = len(terms)
+            return pa.RecordBatch.from_arrays([
+                pa.array([lang] * k, pa.string()), pa.array([source] * k, pa.string()), pa.array(terms, pa.binary()), pa.array([whole] * k, pa.bool_()),
+                pa.array(n, pa.int64()), pa.array(lang_n, pa.int64()), pa.array(lead, pa.bool_())], names=names)
+
+        for batch in batches:
+            for lang, bucket, kind, source, terms, counts in zip(*[batch.column(k).to_pylist() for k in range(6)]):
+                if (lang, bucket) != now:
+                    if now:
+                        yield from out()
+                    now, tables, occurrences = (lang, bucket), (Counter(), Counter()), defaultdict(Counter)
+                table = occurrences[source] if kind == OCCURRENCES else tables[kind]
+                add = dict(zip(terms.split(b" "), np.frombuffer(counts, np.int64).tolist()))
+                table.update(add) if table else dict.update(table, add)
+        if now:
+            yield from out()
+    return merge
+
+
+def _alive(prefixes: DataFrame):
+    """The bit set of the given prefixes as a broadcast; None if there are none."""
+    n = prefixes.count()
     if not n:
         return None
     bits = min(BITS, max(1 << 16, 1 << (8 * n).bit_length()))
     # A power of two, so that pmod of the signed and the unsigned hash agree.
-    words = (kept.select(F.pmod(F.xxhash64("lang", "term"), F.lit(bits)).alias("at"))
+    words = (prefixes.select(F.pmod(F.xxhash64("lang", "term"), F.lit(bits)).alias("at"))
              .groupBy(F.expr("at div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 64 as int)))").alias("bits")).toArrow())
     table = np.zeros(bits // 64, np.int64)
     table[words.column("word").to_numpy()] = words.column("bits").to_numpy()
@@ -129,22 +181,18 @@ def _alive(prefixes: DataFrame, min_docs: int):
 def kept_terms(docs: DataFrame, min_docs: int = MIN_DOCS, first: int = FIRST) -> DataFrame:
     """lang, source, term, n (occurrences there), lang_n (in the language), lead (one row per language and term) of all terms kept.
     ``docs``: lang, source, text without nulls."""
-    shortest, longest, alive, levels = 0, first, None, []
+    buckets = 1 << max(6, (docs.count() // BUCKET_DOCS).bit_length())
+    shortest, longest, alive, whole = 0, first, None, None
     while True:
-        level = stage(docs.select("lang", "source", F.col("text").cast("binary")).mapInArrow(
-            _counted(shortest, longest, alive), "lang string, source string, term binary, whole boolean, docs long, n long"), f"level_{longest}")
-        levels.append(level.where("whole"))
-        alive = _alive(level.where("not whole"), min_docs)
+        packed = docs.select("lang", "source", F.col("text").cast("binary")).mapInArrow(_counted(shortest, longest, alive, buckets), COUNTS)
+        level = stage(packed.repartition("lang", "bucket").sortWithinPartitions("lang", "bucket").mapInArrow(
+            _merged(min_docs), "lang string, source string, term binary, whole boolean, n long, lang_n long, lead boolean"), f"level_{longest}")
+        terms = level.where("whole").drop("whole")
+        whole = terms if whole is None else whole.unionByName(terms)
+        alive = _alive(level.where("not whole").select("lang", "term"))
         if alive is None:
-            break
-        shortest, longest = longest, 2 * longest
-    whole = levels[0]
-    for level in levels[1:]:
-        whole = whole.unionByName(level)
-    counts = (whole.repartition("lang", "term").groupBy("lang", "term", "source").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n")))
-    term = Window.partitionBy("lang", "term")
-    return (counts.withColumns({"all_docs": F.sum("docs").over(term), "lang_n": F.sum("n").over(term), "lead": F.row_number().over(term.orderBy("source")) == 1})
-            .where(F.col("all_docs") >= min_docs).select("lang", "source", F.col("term").cast("string").alias("term"), "n", "lang_n", "lead"))
+            return whole.withColumn("term", F.col("term").cast("string"))
+        shortest, longest = longest, STEP * longest
 
 
 def _share(n: str, total: str) -> str:
@@ -180,7 +228,7 @@ def _pair_sums(rows: pd.DataFrame) -> pd.DataFrame:
 def divergence(docs: DataFrame, lang: str = "lang", source: str = "source", text: str = "text", min_docs: int = MIN_DOCS, top: int = TOP) -> DataFrame:
     """lang, source, part ('pair' or 'term'), item, value, rank."""
     plain = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(name) for c, name in ((lang, "lang"), (source, "source"), (text, "text"))])
-    terms = stage(kept_terms(plain, min_docs), "kept_terms")
+    terms = kept_terms(plain, min_docs)
     occurring = plain.select("lang", "source").distinct()
     by_group = terms.groupBy("lang", "source").agg(F.sum("n").alias("own_n"))
     by_lang = terms.groupBy("lang").agg(F.count_if("lead").alias("v"), F.sum("n").alias("all_n"))
