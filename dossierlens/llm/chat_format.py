@@ -113,18 +113,24 @@ def op2_chat_format(spark, sf_dir: str) -> DataFrame:
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return done.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
                        F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
-                       F.length("formatted").cast("long").alias("formatted_chars"))
+                       F.length("formatted").cast("long").alias("formatted_chars"), "valid", "first_wrong_turn")
 
 
 ORACLE = r"""
 WITH rows_ AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+placed AS (SELECT conv_id, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM rows_),
+briefed AS (SELECT conv_id, max((i = 1 AND role = 'system')::INTEGER) AS o, count(*) AS n FROM placed GROUP BY conv_id),
+turns AS (SELECT b.conv_id, any_value((n - o) > 0 AND (n - o) % 2 = 0) AS ended,
+                 min(CASE WHEN i > o AND role <> CASE WHEN (i - o) % 2 = 1 THEN 'user' ELSE 'assistant' END THEN i END) AS wrong
+          FROM placed p JOIN briefed b ON b.conv_id IS NOT DISTINCT FROM p.conv_id GROUP BY b.conv_id)
+SELECT f.*, t.ended AND t.wrong IS NULL AS valid, t.wrong::INTEGER AS first_wrong_turn FROM (
 SELECT conv_id, count(*) AS n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
        coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0)::BIGINT AS loss_chars,
        sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn NULLS FIRST, role, text)) AS loss_sha256,
        sum(14 + length(replace(replace(replace(role, '~', '~0'), '<', '~1'), '|', '~2'))
               + length(replace(replace(text, '~', '~0'), '<', '~1')) - 1)::BIGINT AS formatted_chars
-FROM rows_ GROUP BY conv_id
+FROM rows_ GROUP BY conv_id) f JOIN turns t ON t.conv_id IS NOT DISTINCT FROM f.conv_id
 """
