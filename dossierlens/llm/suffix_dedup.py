@@ -39,7 +39,8 @@ PARTITION_BYTES = 64_000_000
 SLICE_BYTES = 500_000
 MEMORY = 1 << 21
 SIEVE_BITS = 1 << 26
-OWNED = "h long, s long, key long, n int, los array<long>"
+OWNED = "h long, s long, key long, key2 long, n int, los array<long>"
+KEY = ["key", "key2"]
 
 
 def owners(data: np.ndarray, starts: np.ndarray, length: int, gram: int):
@@ -126,8 +127,11 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, gr
     if not gram < length < CAP:
         raise ValueError(f"the length must lie between the gram size and {CAP}")
     spark = docs.sparkSession
-    identity = F.xxhash64(*[F.col(c) for c, t in docs.dtypes if not t.startswith("map")])
-    rows = docs.select(identity.alias("key"), F.col(text).alias("text"))
+    # Rows are told apart by 128 bits of their values; equal rows are equal texts, so it does not matter which is met. Maps, at any
+    # depth, cannot be hashed and are left out.
+    own = [F.col(c) for c, t in docs.dtypes if "map<" not in t]
+    identity = [F.xxhash64(*own), F.xxhash64(F.lit("second"), *own)]
+    rows = docs.select(*[c.alias(name) for c, name in zip(identity, KEY)], F.col(text).alias("text"))
 
     def counted(batches):
         for batch in batches:
@@ -143,7 +147,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, gr
         for batch in batches:
             for piece in pieces(batch, "text", SLICE_BYTES):
                 data, starts = flat(piece.column("text"))
-                raw, keys = data.tobytes(), np.asarray(piece.column("key"))
+                raw, keys, keys2 = data.tobytes(), np.asarray(piece.column("key")), np.asarray(piece.column("key2"))
                 of, h, lo, n, _ = owners(data, starts, length, gram)
                 use = np.flatnonzero(passes(known.value, h))
                 of, h, lo, n = of[use], h[use], lo[use], n[use]
@@ -157,9 +161,10 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, gr
                 head = np.flatnonzero(new)
                 places = pa.ListArray.from_arrays(pa.array(np.append(head, len(of)), pa.int32()), pa.array(lo))
                 yield pa.RecordBatch.from_arrays([pa.array(h[head]), pa.array(s[head]), pa.array(keys[of[head]]),
-                                                  pa.array(n[head], pa.int32()), places], names=["h", "s", "key", "n", "los"])
+                                                  pa.array(keys2[of[head]]), pa.array(n[head], pa.int32()), places],
+                                                 names=["h", "s", *KEY, "n", "los"])
     segments = stage(rows.mapInArrow(owned, OWNED).join(repeated, "h", "left_semi"), "segments")
-    classes = (segments.groupBy("h", "s").agg(F.sum(F.size("los")).alias("times"), F.first("key").alias("key"),
+    classes = (segments.groupBy("h", "s").agg(F.sum(F.size("los")).alias("times"), F.first("key").alias("key"), F.first("key2").alias("key2"),
                                               F.first(F.col("los")[0]).alias("lo"), F.first("n").alias("n")))
     classes = stage(classes, "classes")
     # Owners of which every segment occurs twice or more are settled.
@@ -176,9 +181,9 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, gr
             for batch in batches:
                 yield batch.filter(pa.array(passes(table.value, np.asarray(batch.column(key))) == keep))
         return filtered
-    of_text = compared.groupBy("key").agg(F.collect_list(F.struct("h", "s", "lo", "n", "bytes")).alias("cuts"))
-    sources = (rows.mapInArrow(chosen(wanted, True), "key long, text string").join(of_text, "key")
-               .dropDuplicates(["key"]).select("text", "cuts"))
+    of_text = compared.groupBy(*KEY).agg(F.collect_list(F.struct("h", "s", "lo", "n", "bytes")).alias("cuts"))
+    sources = (rows.mapInArrow(chosen(wanted, True), "key long, key2 long, text string").join(of_text, KEY)
+               .dropDuplicates(KEY).select("text", "cuts"))
 
     def cut(batches):
         for batch in batches:
@@ -216,22 +221,28 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, gr
     sorted_out = strings.mapInArrow(sorted_, "h long, s long, begins array<long>, ends array<long>").where("size(begins) > 0")
     several = classes.where("times > 1").select("h", "s", F.array(F.lit(0).cast("long")).alias("begins"), F.array(F.col("n").cast("long")).alias("ends"))
     runs = stage(sorted_out.unionByName(several), "repeated_runs")
-    covered = stage(segments.select("h", "s", "key", "los").join(runs, ["h", "s"]).groupBy("key").agg(
+    covered = stage(segments.select("h", "s", *KEY, "los").join(runs, ["h", "s"]).groupBy(*KEY).agg(
         F.collect_list(F.struct("los", "begins", "ends")).alias("runs")), "covered")
     touched = spark.sparkContext.broadcast(sieve(covered.select(F.col("key").alias("v"))))
     kept = [c for c in docs.columns if c not in ("spans", "kept")]
     span = ArrayType(StructType([StructField("start", LongType()), StructField("end", LongType())]))
     schema = StructType([*docs.select(kept).schema.fields, StructField("spans", span), StructField("kept", BinaryType())])
     # The text travels once, unless its own column is replaced by an output.
-    body_ = text if text in kept else "__text"
-    whole = docs.select(*kept, *([] if text in kept else [F.col(text).alias(body_)]), identity.alias("__key"))
+    names = []
+    for name in ("__text", "__key", "__key2", "__runs"):
+        while name in docs.columns:
+            name += "_"
+        names.append(name)
+    body_, *places, runs_ = names
+    body_ = text if text in kept else body_
+    whole = docs.select(*kept, *([] if text in kept else [F.col(text).alias(body_)]), *[c.alias(name) for c, name in zip(identity, places)])
 
     def removed(batches):
         for batch in batches:
             for piece in pieces(batch, body_):
                 columns = [piece.column(c) for c in range(len(kept))]
                 bodies, starts = flat(piece.column(body_))
-                runs = piece.column("__runs").to_pylist() if "__runs" in piece.schema.names else [None] * piece.num_rows
+                runs = piece.column(runs_).to_pylist() if runs_ in piece.schema.names else [None] * piece.num_rows
                 spans, rest = [], []
                 for k, own in enumerate(runs):
                     body = bodies[starts[k]: starts[k + 1]]
@@ -251,9 +262,9 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, gr
                     rest.append(body[~gone].tobytes())
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
                                                   pa.array(rest, pa.binary())], names=schema.names)
-    untouched = chosen(touched, False, "__key")
-    runs_of = covered.select(F.col("key").alias("__key"), F.col("runs").alias("__runs"))
-    met = whole.mapInArrow(chosen(touched, True, "__key"), whole.schema).join(runs_of, "__key", "left").drop("__key")
+    untouched = chosen(touched, False, places[0])
+    runs_of = covered.select(*[F.col(c).alias(name) for c, name in zip(KEY, places)], F.col("runs").alias(runs_))
+    met = whole.mapInArrow(chosen(touched, True, places[0]), whole.schema).join(runs_of, places, "left").drop(*places)
     # Other texts are filtered and passed on by one Python worker.
     return met.mapInArrow(removed, schema).unionByName(whole.mapInArrow(lambda batches: removed(untouched(batches)), schema))
 
