@@ -29,7 +29,11 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     groups = near_duplicates(docs)
     kept = groups.where("id is null or id = component_id").select(F.col("id").alias("__id")).distinct()
     once = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    return once.dropDuplicates(["doc_id", "text"])
+    # Rows that share id and text are one document; of them the one whose other columns come first stays.
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    if not others:
+        return once.distinct()
+    return once.groupBy("doc_id", "text").agg(F.min(F.struct(*others)).alias("__rest")).select("doc_id", "text", "__rest.*").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

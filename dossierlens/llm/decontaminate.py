@@ -155,12 +155,15 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc
     if second is None:
         return against(kept, first)
     # Ids may be null or repeated, so each row gets a key, which is written so that every block meets the same one.
-    rows = stage(kept.withColumn("__row", F.monotonically_increasing_id()), "keyed_documents")
+    key = "__row"
+    while key in kept.columns:
+        key += "_"
+    rows = stage(kept.withColumn(key, F.monotonically_increasing_id()), "keyed_documents")
     hits = None
     for block in itertools.chain([first, second], blocks):
-        own = against(rows.select("__row", text), block).where(F.size("item_ids") > 0).drop(text, "n_words")
+        own = against(rows.select(key, text), block).where(F.size("item_ids") > 0).drop(text, "n_words")
         hits = own if hits is None else hits.unionByName(own)
-    merged = hits.groupBy("__row").agg(
+    merged = hits.groupBy(key).agg(
         F.flatten(F.collect_list(F.arrays_zip("hit_from", "hit_to"))).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("items"))
     # Ranges that overlap or touch become one; spans are visited in order of their start.
@@ -172,14 +175,13 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc
                 F.element_at(done, -1)["hit_from"].alias("hit_from"),
                 F.greatest(F.element_at(done, -1)["hit_to"], s["hit_to"]).alias("hit_to")))))
         .otherwise(F.concat(done, F.array(F.struct(s["hit_from"].alias("hit_from"), s["hit_to"].alias("hit_to"))))))
-    merged = merged.select("__row", fold.alias("spans"), "items")
+    merged = merged.select(F.col(key).alias("row_"), F.struct(fold.alias("spans"), "items").alias("found_"))
     none = F.array().cast("array<int>")
     # Without items the words are only counted.
-    return (against(rows, []).drop("hit_from", "hit_to", "item_ids").join(merged, "__row", "left")
-            .withColumn("hit_from", F.coalesce(F.col("spans")["hit_from"], none))
-            .withColumn("hit_to", F.coalesce(F.col("spans")["hit_to"], none))
-            .withColumn("item_ids", F.coalesce("items", F.array().cast("array<string>")))
-            .select(*kept.columns, *HIT_COLUMNS.names))
+    counted = against(rows, []).select(key, F.struct(*kept.columns).alias("own_"), "n_words")
+    return counted.join(merged, F.col(key) == F.col("row_"), "left").select(
+        "own_.*", "n_words", F.coalesce(F.col("found_.spans")["hit_from"], none).alias("hit_from"),
+        F.coalesce(F.col("found_.spans")["hit_to"], none).alias("hit_to"), F.coalesce("found_.items", F.array().cast("array<string>")).alias("item_ids"))
 
 
 def n_hit():

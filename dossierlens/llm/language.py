@@ -105,12 +105,13 @@ def train(labelled: DataFrame, text: str = "text", label: str = "lang", sizes: t
                 names=["lang", "bucket", "n"])
 
     rows = labelled.where(F.col(label).isNotNull()).select(F.col(text).alias("text"), F.col(label).cast("string").alias("lang"))
+    # Before any count is made: each task holds a table per label it meets.
+    if rows.select("lang").distinct().limit(max_languages + 1).count() > max_languages:
+        raise ValueError(f"more than {max_languages} languages")
     counts = (rows.mapInArrow(counted, "lang string, bucket int, n long")
               .groupBy("lang", "bucket").agg(F.sum("n").alias("n")))
     table = counts.toPandas()  # at most languages x (buckets + 1) rows
     languages = sorted(table["lang"].unique())
-    if len(languages) > max_languages:
-        raise ValueError(f"{len(languages)} languages; the limit is {max_languages}")
     grams = np.zeros((len(languages), buckets))
     documents = np.ones(len(languages))
     place = {code: k for k, code in enumerate(languages)}

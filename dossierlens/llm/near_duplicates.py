@@ -16,7 +16,8 @@
 
 Defined results: a null or empty text, or one without words, has an empty set and is linked with nothing. Fewer words than a
 shingle are one shingle. Repeated rows and equal texts share a component. A null id is no vertex: component null, kept.
-Ids must not be shared by different texts. Empty table: no rows. Other columns pass through.
+Ids are whole numbers; different texts under one id are told apart as rows (each keeps its own set size and component), but
+only one of them is compared beyond equal sets. Empty table: no rows. Other columns are not part of the result.
 """
 
 import numpy as np

@@ -77,8 +77,7 @@ def filter_urls(pages: DataFrame, rules: tuple = CONTRACT_RULES + WORD_RULES, ur
     """All rows and columns plus host, path, rule (of listed rules, else null) and verdict."""
     outputs = ["host", "path", "rule", "verdict"]
     kept = [c for c in pages.columns if c not in outputs]
-    split = (pages.withColumn("__url", F.struct(host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path")))
-             .select(F.struct(*kept).alias("row"), "__url.host", "__url.path"))
+    split = pages.select(F.struct(*kept).alias("row"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     if not rules:
         return split.select("row.*", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     if any(not r.tokens for r in rules):
