@@ -8,17 +8,15 @@ confirmed word by word, which leaves no false hit.
 Short items are handled by the same rule with their own window size: one family of fingerprints per window size that occurs,
 of which there are at most ``window``.
 
-The benchmark goes to the tasks in blocks of ``block_words`` words and at most one more item, so what is broadcast is bounded
-by that and the longest item; with several blocks the documents are written once with a key of their own per row, texts are
-read once per block, and the hits of the blocks are merged per row. The usual benchmark is one block.
+A benchmark of up to ``block_words`` words is indexed in every task, and documents are not shuffled; that is the usual case. A
+larger one is never gathered: its fingerprints are a table, which is joined with the fingerprints of the documents (``_joined``),
+and the documents are read once for those, whatever the size of the benchmark. Both ways give the same rows.
 
 Defined results: a null or empty text, or an item without words, has no windows and no hits. Repeated items are all named.
-Document rows are answered one by one, whatever their ids, with one block and with several.
+Document rows are answered one by one, whatever their ids, with a small and a large benchmark.
 Empty tables give empty results or no hits. Other columns of the documents pass through.
 """
 
-import itertools
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -30,6 +28,9 @@ from dossierlens.storage import stage
 WORD = byte_classes((0x30, 0x39), (0x61, 0x7A), (0x80, 0xFF))
 WINDOW, GRAM = 13, 6
 BLOCK_WORDS = 1_000_000
+SIEVE_BITS = 1 << 27
+# Lists that the candidate items of one document are spread over.
+PARTS = 16
 HIT_COLUMNS = StructType([
     StructField("n_words", LongType()), StructField("hit_from", ArrayType(IntegerType())),
     StructField("hit_to", ArrayType(IntegerType())), StructField("item_ids", ArrayType(StringType()))])
@@ -108,23 +109,97 @@ class Index:
         return out, np.diff(words.first)
 
 
-def _blocks(benchmark: DataFrame, item: str, text: str, block_words: int):
-    """Lists of (item id, text) of about ``block_words`` words each, one block in driver memory at a time; items without words
-    are left out."""
-    rows = (benchmark.where(F.col(text).isNotNull())
-            .select(F.col(item).cast("string").alias("item"), F.col(text).alias("text")).sort("item", "text"))
-    block, size = [], 0
-    for row in rows.toLocalIterator():
-        count = len(Words(*flat(pa.array([row.text], pa.string())), WORD).start)
-        if not count:
-            continue
-        block.append((row.item, row.text))
-        size += count
-        if size >= block_words:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
+def _items(benchmark: DataFrame, item: str, text: str, window: int) -> DataFrame:
+    """Items with words: item (text), text, words, size (words of their windows)."""
+    def measured(batches):
+        for batch in batches:
+            for piece in pieces(batch, "text"):
+                n = np.diff(Words(*flat(piece.column("text")), WORD).first)
+                yield pa.RecordBatch.from_arrays(
+                    [*piece.columns, pa.array(n, pa.int64()), pa.array(np.minimum(n, window), pa.int32())],
+                    names=["item", "text", "words", "size"]).filter(pa.array(n > 0))
+    rows = benchmark.where(F.col(text).isNotNull()).select(F.col(item).cast("string").alias("item"), F.col(text).alias("text"))
+    return rows.mapInArrow(measured, "item string, text string, words long, size int")
+
+
+def _searched(rows: DataFrame, text: str, block: list, window: int, gram: int) -> DataFrame:
+    """All rows and columns with the hits of a block of items, which every task indexes."""
+    schema = StructType([*rows.schema.fields, *HIT_COLUMNS.fields])
+    shared = rows.sparkSession.sparkContext.broadcast(block)
+
+    def searched(batches):
+        index = Index(shared.value, window, gram)
+        for batch in batches:
+            for piece in pieces(batch, text):
+                data, starts = flat(piece.column(text))
+                found, counts = index.hits(data, starts)
+                hits = [found.get(k, ((), (), ())) for k in range(piece.num_rows)]
+                yield pa.RecordBatch.from_arrays(
+                    [*piece.columns, pa.array(counts, pa.int64()), pa.array([r[0] for r in hits], pa.list_(pa.int32())),
+                     pa.array([r[1] for r in hits], pa.list_(pa.int32())),
+                     pa.array([r[2] for r in hits], pa.list_(pa.string()))], names=schema.names)
+    return rows.mapInArrow(searched, schema)
+
+
+def _joined(rows: DataFrame, key: str, text: str, items: DataFrame, sizes: list, window: int, gram: int) -> DataFrame:
+    """Hits of a benchmark of any size: key, hit_from, hit_to, item_ids, in several rows a document.
+
+    Fingerprints of documents that are in no item are left out by a bit table of fixed size; the rest is joined with those of the
+    items. Each pair that shares one is confirmed on the texts: a document's candidate items come to it in ``PARTS`` lists.
+    """
+    items = stage(items.withColumn("number", F.monotonically_increasing_id()), "benchmark_items")
+
+    def marks(column, sizes_of):
+        """(column, size, hash) of the fingerprints of each text, once per text, that the bit table holds (if given)."""
+        def marked(batches):
+            bits = known.value if known else None
+            for batch in batches:
+                for piece in pieces(batch, "text"):
+                    data, starts = flat(piece.column("text"))
+                    own = piece.column(0).to_numpy()
+                    wanted = np.asarray(piece.column("size")) if sizes_of is None else None
+                    words = Words(data, starts, WORD)
+                    for size in sizes if sizes_of is None else sizes_of:
+                        at, hashes = fingerprints(words, size, gram)
+                        of = words.of[at]
+                        if wanted is not None:
+                            fits = wanted[of] == size
+                            of, hashes = of[fits], hashes[fits]
+                        if bits is not None:
+                            cell = (hashes % np.uint64(SIEVE_BITS)).astype(np.int64)
+                            fits = (bits[cell >> 6] >> (cell & 63).astype(np.uint64)) & np.uint64(1) == 1
+                            of, hashes = of[fits], hashes[fits]
+                        pair = np.unique(np.stack([of.astype(np.uint64), hashes]), axis=1) if len(of) else np.zeros((2, 0), np.uint64)
+                        yield pa.RecordBatch.from_arrays([
+                            pa.array(own[pair[0].astype(np.int64)]), pa.array(np.full(pair.shape[1], size, np.int32)),
+                            pa.array(pair[1].view(np.int64))], names=[column, "size", "hash"])
+        return marked
+
+    known = None
+    of_items = stage(items.select("number", "text", "size").mapInArrow(marks("number", None), "number long, size int, hash long"), "benchmark_marks")
+    cell = F.pmod(F.col("hash"), F.lit(SIEVE_BITS))  # a power of two, so that signed and unsigned hashes agree
+    words = (of_items.select(cell.alias("cell")).groupBy(F.expr("cell div 64").alias("word"))
+             .agg(F.expr("bit_or(shiftleft(1L, cast(cell % 64 as int)))").alias("bits")).toArrow())
+    table = np.zeros(SIEVE_BITS // 64, np.int64)
+    table[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    known = rows.sparkSession.sparkContext.broadcast(table.view(np.uint64))
+    of_rows = rows.select(F.col(key).alias("row_"), F.col(text).alias("text")).mapInArrow(marks("row_", sizes), "row_ long, size int, hash long")
+    pairs = of_rows.join(of_items, ["size", "hash"]).select("row_", "number").distinct()
+    lists = (pairs.join(items.select("number", "item", F.col("text").alias("item_text")), "number")
+             .groupBy("row_", F.pmod("number", F.lit(PARTS)).alias("part")).agg(F.collect_list(F.struct("item", "item_text")).alias("items")))
+    found = lists.join(rows.select(F.col(key).alias("row_"), F.col(text).alias("text")), "row_").select("row_", "text", "items")
+
+    def confirmed(batches):
+        for batch in batches:
+            for piece in pieces(batch, "text"):
+                out = []
+                for k, listed in enumerate(piece.column("items").to_pylist()):
+                    hits, _ = Index([(i["item"], i["item_text"]) for i in listed], window, gram).hits(*flat(piece.column("text").slice(k, 1)))
+                    out.append(hits.get(0, ((), (), ())))
+                yield pa.RecordBatch.from_arrays(
+                    [piece.column("row_"), pa.array([r[0] for r in out], pa.list_(pa.int32())), pa.array([r[1] for r in out], pa.list_(pa.int32())),
+                     pa.array([r[2] for r in out], pa.list_(pa.string()))], names=["row_", "hit_from", "hit_to", "item_ids"])
+    return found.mapInArrow(confirmed, "row_ long, hit_from array<int>, hit_to array<int>, item_ids array<string>").where(F.size("item_ids") > 0)
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text",
@@ -132,38 +207,16 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc
                        block_words: int = BLOCK_WORDS) -> DataFrame:
     """All rows and columns of ``docs`` plus n_words, hit_from/hit_to (word ranges inside any occurrence), and item_ids."""
     kept = docs.drop(*HIT_COLUMNS.names)
-
-    def against(rows, block):
-        schema = StructType([*rows.schema.fields, *HIT_COLUMNS.fields])
-        shared = docs.sparkSession.sparkContext.broadcast(block)
-
-        def searched(batches):
-            index = Index(shared.value, window, gram)
-            for batch in batches:
-                for piece in pieces(batch, text):
-                    data, starts = flat(piece.column(text))
-                    found, counts = index.hits(data, starts)
-                    rows = [found.get(k, ((), (), ())) for k in range(piece.num_rows)]
-                    yield pa.RecordBatch.from_arrays(
-                        [*piece.columns, pa.array(counts, pa.int64()), pa.array([r[0] for r in rows], pa.list_(pa.int32())),
-                         pa.array([r[1] for r in rows], pa.list_(pa.int32())),
-                         pa.array([r[2] for r in rows], pa.list_(pa.string()))], names=schema.names)
-        return rows.mapInArrow(searched, schema)
-
-    blocks = _blocks(benchmark, item_id, item_text, block_words)
-    first, second = next(blocks, []), next(blocks, None)
-    if second is None:
-        return against(kept, first)
-    # Ids may be null or repeated, so each row gets a key, which is written so that every block meets the same one.
+    items = _items(benchmark, item_id, item_text, window)
+    measured = items.agg(F.sum("words").alias("words"), F.collect_set("size").alias("sizes")).first()  # at most ``window`` sizes
+    if (measured["words"] or 0) <= block_words:
+        return _searched(kept, text, [(r.item, r.text) for r in items.sort("item", "text").collect()], window, gram)
+    # Ids may be null or repeated, so each row gets a key, which is written so that every reader meets the same one.
     key = "__row"
     while key in kept.columns:
         key += "_"
     rows = stage(kept.withColumn(key, F.monotonically_increasing_id()), "keyed_documents")
-    hits = None
-    for block in itertools.chain([first, second], blocks):
-        own = against(rows.select(key, text), block).where(F.size("item_ids") > 0).drop(text, "n_words")
-        hits = own if hits is None else hits.unionByName(own)
-    merged = hits.groupBy(key).agg(
+    merged = _joined(rows, key, text, items, sorted(measured["sizes"]), window, gram).groupBy("row_").agg(
         F.flatten(F.collect_list(F.arrays_zip("hit_from", "hit_to"))).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("items"))
     # Ranges that overlap or touch become one; spans are visited in order of their start.
@@ -175,10 +228,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc
                 F.element_at(done, -1)["hit_from"].alias("hit_from"),
                 F.greatest(F.element_at(done, -1)["hit_to"], s["hit_to"]).alias("hit_to")))))
         .otherwise(F.concat(done, F.array(F.struct(s["hit_from"].alias("hit_from"), s["hit_to"].alias("hit_to"))))))
-    merged = merged.select(F.col(key).alias("row_"), F.struct(fold.alias("spans"), "items").alias("found_"))
+    merged = merged.select("row_", F.struct(fold.alias("spans"), "items").alias("found_"))
     none = F.array().cast("array<int>")
     # Without items the words are only counted.
-    counted = against(rows, []).select(key, F.struct(*kept.columns).alias("own_"), "n_words")
+    counted = _searched(rows, text, [], window, gram).select(key, F.struct(*kept.columns).alias("own_"), "n_words")
     return counted.join(merged, F.col(key) == F.col("row_"), "left").select(
         "own_.*", "n_words", F.coalesce(F.col("found_.spans")["hit_from"], none).alias("hit_from"),
         F.coalesce(F.col("found_.spans")["hit_to"], none).alias("hit_to"), F.coalesce("found_.items", F.array().cast("array<string>")).alias("item_ids"))
