@@ -198,11 +198,11 @@ def nearest(rows: DataFrame, queries: DataFrame, count: int = 20, vec_id: str =
                 keys = shared.value.probed(_matrix(part.column("vector").to_pylist(), kind), shared.value.probes)
                 for table in range(len(keys)):
                     lists = pa.array(list(keys[table]), pa.list_(pa.int64()))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(part.num_rows, table, np.int32)), lists, part.column("rep"),
-                                                      part.column("vector")], names=["tab", "buckets", "id", "vector"])
-    row = "id long, vector binary"
-    index = stage(classes.select("rep", "vector").mapInArrow(indexed, f"tab int, bucket long, {row}"), "index")
-    probes = heads.mapInArrow(probing, f"tab int, buckets array<long>, {row}").select("tab", F.explode("buckets").alias("bucket"), "id", "vector")
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(part.num_rows, table, np.int32)), lists, part.column("rep")],
+                                                     names=["tab", "buckets", "id"])
+    index = stage(classes.select("rep", "vector").mapInArrow(indexed, "tab int, bucket long, id long, vector binary"), "index")
+    # Probes are ids and buckets; a query's vector joins them once per task group.
+    probes = heads.mapInArrow(probing, "tab int, buckets array<long>, id long").select("tab", F.explode("buckets").alias("bucket"), "id")
     sizes = index.groupBy("tab", "bucket").agg(F.ceil(F.count("*") / GROUP_ROWS).cast("int").alias("parts"))
     groups = max(16, index.count() // GROUP_ROWS)
     sides = max(1, -(-heads.count() // GROUP_ROWS))
@@ -210,14 +210,14 @@ def nearest(rows: DataFrame, queries: DataFrame, count: int = 20, vec_id: str =
     def dealt(df, part):
         """``cell`` is a part of a bucket, ``deal`` the task group that holds it."""
         return (df.join(sizes, ["tab", "bucket"]).withColumn("part", part)
-                .select(F.xxhash64("tab", "bucket", "part").alias("cell"), "id", "vector")
+                .select(F.xxhash64("tab", "bucket", "part").alias("cell"), "id", *[c for c in df.columns if c == "vector"])
                 .withColumn("deal", F.pmod(F.col("cell"), F.lit(groups)).cast("int")))
     # ``side`` is a part of the queries; each has its own copy of the deals.
     left = dealt(index, F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     left = left.withColumn("side", F.explode(F.sequence(F.lit(0), F.lit(sides - 1))))
     right = dealt(probes, F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).groupBy("deal", "id").agg(
-        F.first("vector").alias("vector"), F.collect_set("cell").alias("cells"))
-    right = right.withColumn("side", F.pmod(F.xxhash64("id"), F.lit(sides)).cast("int"))
+        F.collect_set("cell").alias("cells"))
+    right = right.join(heads.select(F.col("rep").alias("id"), "vector"), "id").withColumn("side", F.pmod(F.xxhash64("id"), F.lit(sides)).cast("int"))
 
     def searched(index, asked):
         if not len(index) or not len(asked):
