@@ -11,7 +11,8 @@
    components are therefore joined on their prefixes: of two sets at the wanted similarity, each has one of its rarest
    shingles in the other. Shingles of one component, or of one set, give no pairs. Each set carries a parity sketch; the
    bits in which two sketches differ are at most the shingles in which the sets differ, so the join itself refutes pairs
-   beyond the allowed difference, without error. What is left is confirmed on full sets. Nothing is capped: afterwards every
+   beyond the allowed difference, without error. A shingle with many members is a grid of blocks, each pair of blocks a join key
+   of its own, so that a task holds a bounded number of members. What is left is confirmed on full sets. Nothing is capped: afterwards every
    pair of a bucket is confirmed, refuted or already connected.
 
 Defined results: a null or empty text, or one without words, has an empty set and is linked with nothing. Fewer words than a
@@ -31,6 +32,8 @@ from dossierlens.storage import stage
 WORD = ~byte_classes((0x20, 0x20), (0x09, 0x0D))
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 80, 32, 5
 SKETCH_WORDS = 8
+# Members of a shared shingle are dealt into blocks of about this many, and blocks are compared with blocks.
+GRID_ROWS = 500
 # Cells of the table that orders shingles by rarity; any order is right, a rarer prefix only makes fewer pairs.
 RARITY_CELLS = 1 << 18
 
@@ -193,11 +196,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     open_ids = stage(placed.join(mixed, "key", "left_semi").select("id", "c").distinct(), "open_members")
     described_open = stage(_prefixes(texts.join(open_ids, "id"), shingle, percent), "prefixes")
     prefix = described_open.select(F.explode("rare").alias("key"), "id", "c")
-    shared = prefix.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
-    mixed = stage(prefix.join(shared, "key", "left_semi").join(described_open.select("id", "n", "sketch"), "id"), "shared_prefixes")
+    shared = (prefix.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.ceil(F.count("*") / GRID_ROWS).cast("int").alias("blocks"))
+              .where("low < high").select("key", "blocks"))
+    mixed = stage(prefix.join(shared, "key").join(described_open.select("id", "n", "sketch"), "id")
+                  .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")), "shared_prefixes")
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     differing = sum((F.bit_count(F.col("sketch")[k].bitwiseXOR(F.col("other")[k])) for k in range(SKETCH_WORDS)), F.lit(0))
-    pairs = (mixed.select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"), "sketch")
-             .join(mixed.select("key", F.col("id").alias("b"), "n", "c", F.col("sketch").alias("other")), "key")
+    pairs = (mixed.select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"), "sketch", F.col("block").alias("i"), every.alias("j"))
+             .join(mixed.select("key", F.col("id").alias("b"), "n", "c", F.col("sketch").alias("other"), every.alias("i"), F.col("block").alias("j")),
+                   ["key", "i", "j"])
              .where((F.col("ca") < F.col("c")) & alike(F.col("na"), F.col("n"))
                     & ((100 + percent) * differing <= (100 - percent) * (F.col("na") + F.col("n"))))
              .select("a", "b").distinct())
