@@ -17,7 +17,7 @@ import compare
 from dossierlens.llm import catalog
 from dossierlens.llm.chat_format import format_chats, parse
 from dossierlens.llm.components import connected_components
-from dossierlens.llm.decontaminate import HIT_COLUMNS, _blocks, find_contamination, judged
+from dossierlens.llm.decontaminate import HIT_COLUMNS, find_contamination, judged
 from dossierlens.llm.induced_sort import suffix_array
 from dossierlens.llm.language import identify, train
 from dossierlens.llm.near_duplicates import near_duplicates
@@ -144,8 +144,19 @@ def test_decontamination_in_blocks_answers_every_row(spark):
     whole = answers()
     assert len(whole) == 21 and sum(r[0] is None and r[-1] for r in whole) == 4
     assert answers(block_words=1) == answers(block_words=4) == whole
-    words = spark.createDataFrame([(k, "a-b\nc\td") for k in range(6)] + [(9, "?!")], "item_id long, text string")
-    assert [len(b) for b in _blocks(words, "item_id", "text", 8)] == [2, 2, 2]
+
+
+def test_decontamination_by_a_large_benchmark(spark):
+    """The join of fingerprints on the whole tables and on passages that very many rows and items share."""
+    docs, items = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
+
+    def answers(docs, items, **more):
+        return sorted((tuple(r) for r in judged(find_contamination(docs.select("doc_id", "text"), items, **more)).drop("text").collect()), key=str)
+    assert answers(docs, items) == answers(docs, items, block_words=10)
+    passage = " ".join(f"w{k}" for k in range(40))
+    hot = spark.range(300).select(F.col("id").alias("doc_id"), F.concat(F.lit("x "), F.lit(passage), F.lit(" y"), "id").alias("text"))
+    many = spark.range(40).select(F.col("id").alias("item_id"), F.concat(F.lit(passage + " z"), F.col("id") % 3).alias("text"))
+    assert answers(hot, many) == answers(hot, many, block_words=10)
 
 
 def test_language(spark, odd):
@@ -298,3 +309,24 @@ def test_pipeline(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs.limit(0), SF)
         assert out.columns == docs.columns and out.count() == 0
+
+
+def test_near_duplicates_of_many_different_members(spark):
+    """Very many texts share their rarest shingles and differ from each other: each block pair is compared, and no pair is lost."""
+    rng = random.Random(8)
+    base, rows = [f"w{k}" for k in range(100)], []
+    for d in range(2000):
+        words = list(base)
+        for at in rng.sample(range(5, 95), 9 if d % 10 else 3):
+            words[at] = f"e{d}x{at}"
+        rows.append((d, " ".join(words)))
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=4).collect()
+    sets = {d: shingles(t, 4) for d, t in rows if d % 10 == 0}
+    assert len({r.component_id for r in got}) > 1500
+    component = {r.id: r.component_id for r in got}
+    ids = sorted(sets)
+    for k, a in enumerate(ids):
+        for b in ids[k + 1:]:
+            n = len(sets[a] & sets[b])
+            if 100 * n >= 80 * (len(sets[a]) + len(sets[b]) - n):
+                assert component[a] == component[b]

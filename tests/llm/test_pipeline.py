@@ -10,11 +10,12 @@ import subprocess
 import sys
 import zlib
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 from test_operators import SF, groups_of, lower
-from test_secrets import brute as secret_spans
+from test_secrets import KINDS, brute as secret_spans
 from tokenizers import Tokenizer
 
 from dossierlens.llm import catalog
@@ -162,6 +163,42 @@ def test_suffix_query_equals_brute_force_on_whole_table(spark):
         assert got[d].n_spans == len(re.findall(b"\1+", bytes(gone)))
 
 
+def test_token_queries_equal_the_library_on_whole_tables(spark):
+    counts = {r.doc_id: r for r in catalog.QUERIES["op3_token_counts"](spark, SF).collect()}
+    digests = {r.doc_id: r for r in catalog.QUERIES["op5_bpe"](spark, SF).collect()}
+    library, words = (Tokenizer.from_file(public_tokenizers.path(name)) for name in ("byte_bpe_50k.json", "word_bpe_49k.json"))
+    for d, text, _ in documents(spark):
+        n = len(library.encode(text or "", add_special_tokens=False).ids)
+        assert (counts[d].n_bytes, counts[d].n_tokens, counts[d].over_limit) == (len((text or "").encode()), n, n > 512)
+        ids = words.encode(text or "", add_special_tokens=False).ids
+        assert (digests[d].n_tokens, digests[d].ids_sha256) == (len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest())
+        assert digests[d].decoded_sha256 == hashlib.sha256(words.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_secret_query_equals_expressions_on_the_whole_table(spark):
+    got = {r.doc_id: r for r in catalog.QUERIES["op4_secret_scan"](spark, SF).collect()}
+    for d, text, _ in documents(spark):
+        base = [(s, k, e) for s, k, e in secret_spans(text or "") if k < 3]
+        listed = ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in base)
+        assert got[d].base_sha256 == hashlib.sha256(listed.encode()).hexdigest()
+        assert (got[d].n_assign, got[d].n_access, got[d].n_hex) == tuple(sum(k == kind for _, k, _ in base) for kind in range(3))
+
+
+def test_nearest_query_recalls_on_the_whole_table(spark):
+    table = {r.vec_id: np.array(r.embedding, float) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()}
+    ids = np.array(sorted(table))
+    matrix, found, wanted = np.stack([table[i] for i in ids]), 0, 0
+    got = collections.defaultdict(dict)
+    for r in catalog.QUERIES["op6_nearest"](spark, SF).collect():
+        got[r.query_id][r.vec_id] = r.score
+    for q in ids[ids % 20 == 0]:
+        scores = matrix @ table[q]
+        best = [int(i) for i in ids[np.lexsort((ids, -scores))] if i != q][:20]
+        found, wanted = found + len(set(best) & set(got[q])), wanted + len(best)
+        assert len(got[q]) == len(best) and all(abs(s - float(table[v] @ table[q])) < 1e-9 for v, s in got[q].items())
+    assert found >= 0.9 * wanted
+
+
 def test_workers_find_the_package_from_another_folder(tmp_path):
     code = f"""
 import sys
