@@ -19,7 +19,8 @@ TVA_ABSENT = "Numéro TVA absent"
 TVA_SHAPE = "Format TVA incorrect : %s"
 TVA_KEY = "Clé TVA incohérente avec SIREN (attendu FR%02d, trouvé FR%02d)"
 TVA_OK = "Numéro TVA valide"
-BIC_PATTERN = "^[A-Z]{4}[A-Z]{2}[A-Z0-9]{2}([A-Z0-9]{3})?$"
+# Fixed value: structure of a BIC.
+BIC_PATTERN = "^([A-Z]{4})([A-Z]{2})([A-Z0-9]{2})([A-Z0-9]{3})?$"
 
 
 def verdict(ok: Column, message: Column) -> Column:

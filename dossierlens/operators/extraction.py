@@ -45,7 +45,7 @@ SIRET_OR_WORD = r"(?U)\b(?:\d{3}[\s.\-]?\d{3}[\s.\-]?\d{3}[\s.\-]?\d{5}|(?i:sire
 SIREN_LABELLED = r"(?iU)(?:siren|n[o°]?\s*siren)\s*[:\s]?\s*(\d[\d\s.\-]{7,11}\d)"
 TVA_NUMBER = r"(?iU)\b(FR[\s.\-]?[0-9A-Z]{2}[\s.\-]?\d{3}[\s.\-]?\d{3}[\s.\-]?\d{3})\b"
 IBAN_LABELLED = r"(?iU)(?:iban|i\.b\.a\.n\.?)\s*[:\s]?\s*(FR[\d\s]{20,35})"
-IBAN_FREE = r"(?iU)\b(FR\d{2}\s{0,2}(?:\d{4}\s{0,2}){5}\d{2,3})\b"
+IBAN_FREE = r"(?iU)\b(FR\d{2}[\s]{0,2}\d{4}[\s]{0,2}\d{4}[\s]{0,2}\d{4}[\s]{0,2}\d{4}[\s]{0,2}\d{4}[\s]{0,2}\d{2,3})\b"
 BIC_LABEL = (r"(?iU)(?:(?:code[\s\-]?)?bic(?:[\s/]?swift)?|swift(?:[\s/]?(?:code|bic))?|identifiant[\s\-](?:bic|swift)"
              r"|code[\s\-]établissement)")
 BIC_LABELLED = BIC_LABEL + r"[\s:/]*([A-Za-z]{4}\s?[A-Za-z]{2}\s?[A-Za-z0-9]{2}(?:\s?[A-Za-z0-9]{3})?)"
