@@ -1,6 +1,7 @@
 """Trie of conversation prefixes: every distinct sequence of first turns is a node, found without shuffling all prefixes.
 
-1. Every turn becomes two 60-bit halves of a SHA-256 digest of role and text plus its length; texts go no further.
+1. Every turn becomes two 60-bit halves of a SHA-256 digest of role and text plus its length; of the text itself only the first
+   64 characters travel, which order turns of equal number.
 2. The digest of a prefix is the sum, modulo 2^62, of hashes of (turn digest, depth), twice over. Sums can be made for a
    conversation that spreads over many partitions (``running``), and a prefix's sum without its last turn is its parent's.
 3. Count-min screening: each prefix digest counts in one cell of each of two rows; a bit per cell says whether it was counted
