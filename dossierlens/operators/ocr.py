@@ -73,7 +73,8 @@ def best_ocr_pass(passes: DataFrame, early_stop: float = EARLY_STOP_CONFIDENCE)
 
 
 def merge_pages(pages: DataFrame) -> DataFrame:
-    """One row per document from ``page, text, confidence, ocr_config, preprocessing_strategy``."""
+    """One row per document from ``page, text, confidence, ocr_config, preprocessing_strategy``. ``word_count`` counts the words of the
+    cleaned text, ``read_words`` those of the pages as read, page marks and dropped lines included."""
     joined = pages.groupBy("document_id").agg(
         F.array_join(F.array_sort(F.collect_list(F.struct("page", "text")))["text"], PAGE_SEPARATOR).alias("_text"),
         F.avg("confidence").alias("confidence"),
@@ -88,7 +89,8 @@ def merge_pages(pages: DataFrame) -> DataFrame:
     )
     return joined.withColumn("text", tx.clean_ocr_text(F.col("_text"))).select(
         "document_id", "text", "confidence", method.alias("method"), "ocr_config", "page_count",
-        tx.word_count(F.col("text")).alias("word_count"), "preprocessing_strategy")
+        tx.word_count(F.col("text")).alias("word_count"), "preprocessing_strategy",
+        tx.word_count(F.col("_text")).alias("read_words"))
 
 
 def prefer_fallback(primary: DataFrame, fallback: DataFrame, threshold: float = 0.0) -> DataFrame:
