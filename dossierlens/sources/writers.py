@@ -32,8 +32,9 @@ def curated_record(docs: DataFrame, as_of) -> DataFrame:
 
 
 def write_curated(docs: DataFrame, path: str, as_of, mode: str = "overwrite") -> None:
-    """Final JSON records by type; absent fields are left out of the JSON."""
-    curated_record(docs, as_of).hint("rebalance", "doc_type").write.mode(mode).partitionBy("doc_type").json(path)
+    """Final JSON records by type, compressed, as the names of the fields are most of a record; absent fields are left out."""
+    curated_record(docs, as_of).hint("rebalance", "doc_type").write.mode(mode).option("compression", "gzip").partitionBy(
+        "doc_type").json(path)
 
 
 def append_anomalies(anomalies: DataFrame, path: str) -> None:
