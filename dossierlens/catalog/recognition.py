@@ -12,12 +12,15 @@ THRESHOLD = 0.6
 # By conversation: a PDF with embedded text, a scanned one, an image, or a type nobody knows; every eleventh has no recognised word.
 MIME = """element_at(array('application/pdf', 'application/pdf', 'IMAGE/PNG ', 'application/octet-stream'), cast(conv_id % 4 as int) + 1)"""
 
+# A file per document: every task moves its own files to their place, where the default leaves them all to the driver.
+ONE_FILE_A_ROW = {"compression": "none", "mapreduce.fileoutputcommitter.algorithm.version": "2"}
+
 
 def text_files(spark, sf_dir):
     """The texts of ``documents`` as files of the raw zone, read back as such."""
     path = scratch_path(spark, "raw")
-    b.table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("value")).write.option(
-        "compression", "none").partitionBy("doc_id").text(path)
+    texts = b.spread(b.table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("value")), "doc_id")
+    texts.write.options(**ONE_FILE_A_ROW).partitionBy("doc_id").text(path)
     accepted, _ = readers.read_raw(spark, path, accepted=["text/plain"])
     return accepted.select(F.concat(F.lit("doc-"), F.regexp_extract("path", "doc_id=([0-9]+)", 1)).alias("document_id"), "mime_type", "content")
 
