@@ -116,6 +116,12 @@ def _exact(classes: DataFrame, ids: np.ndarray, vectors: np.ndarray, count: int,
     return _merged(classes.select("rep", "vector").mapInArrow(scored, FOUND), count)
 
 
+def _keyed(df: DataFrame) -> DataFrame:
+    """A table that grows with the input, for a join by key in the tasks: a broadcast would pass all of it through the driver, and
+    several that Spark measures as just small enough fill the driver's memory at once."""
+    return df.hint("merge")
+
+
 def _merged(found: DataFrame, count: int) -> DataFrame:
     pairs = found.groupBy("query", "candidate").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query").orderBy(F.desc("score"), "candidate")
@@ -178,7 +184,7 @@ def nearest(rows: DataFrame, queries: DataFrame, count: int = 20, vec_id: str =
     x_type = rows.schema[vector].dataType.simpleString()
     classes = stage(groups.mapInArrow(packed, f"x {x_type}, ids array<long>, vector binary, square double")
                     .select(F.col("ids")[0].alias("rep"), "x", "ids", "vector", "square"), "classes")
-    asked = stage(asked.join(classes.select("x", "rep", "vector"), "x").select("id", "rep", "vector"), "queries")
+    asked = stage(asked.join(_keyed(classes.select("x", "rep", "vector")), "x").select("id", "rep", "vector"), "queries")
     heads = stage(asked.select("rep", "vector").distinct(), "query_classes")
     wanted = min(count + 1, classes.count())
     hashing = _fitted(spark, classes, heads, wanted, kind, recall, tables, hashes)
@@ -209,7 +215,7 @@ def nearest(rows: DataFrame, queries: DataFrame, count: int = 20, vec_id: str =
 
     def dealt(df, part):
         """``cell`` is a part of a bucket, ``deal`` the task group that holds it."""
-        return (df.join(sizes, ["tab", "bucket"]).withColumn("part", part)
+        return (df.join(_keyed(sizes), ["tab", "bucket"]).withColumn("part", part)
                 .select(F.xxhash64("tab", "bucket", "part").alias("cell"), "id", *[c for c in df.columns if c == "vector"])
                 .withColumn("deal", F.pmod(F.col("cell"), F.lit(groups)).cast("int")))
     # ``side`` is a part of the queries; each has its own copy of the deals.
@@ -217,7 +223,7 @@ def nearest(rows: DataFrame, queries: DataFrame, count: int = 20, vec_id: str =
     left = left.withColumn("side", F.explode(F.sequence(F.lit(0), F.lit(sides - 1))))
     right = dealt(probes, F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).groupBy("deal", "id").agg(
         F.collect_set("cell").alias("cells"))
-    right = right.join(heads.select(F.col("rep").alias("id"), "vector"), "id").withColumn("side", F.pmod(F.xxhash64("id"), F.lit(sides)).cast("int"))
+    right = right.join(_keyed(heads.select(F.col("rep").alias("id"), "vector")), "id").withColumn("side", F.pmod(F.xxhash64("id"), F.lit(sides)).cast("int"))
 
     def searched(index, asked):
         if not len(index) or not len(asked):
@@ -250,7 +256,7 @@ def nearest(rows: DataFrame, queries: DataFrame, count: int = 20, vec_id: str =
 
     found = stage(_merged(left.groupBy("deal", "side").cogroup(right.groupBy("deal", "side")).applyInPandas(searched, FOUND), wanted), "found")
     enough = found.groupBy("query").count().where(F.col("count") >= wanted)
-    short = heads.join(enough.select(F.col("query").alias("rep")), "rep", "left_anti").sort("rep")
+    short = heads.join(_keyed(enough.select(F.col("query").alias("rep"))), "rep", "left_anti").sort("rep")
     block = []
     extra = []
 
@@ -267,9 +273,9 @@ def nearest(rows: DataFrame, queries: DataFrame, count: int = 20, vec_id: str =
         found = found.unionByName(more)
     if extra:
         found = _merged(found, wanted)
-    expanded = (found.join(classes.select(F.col("rep").alias("candidate"), "ids"), "candidate")
+    expanded = (found.join(_keyed(classes.select(F.col("rep").alias("candidate"), "ids")), "candidate")
                 .select(F.col("query").alias("rep"), "score", F.explode("ids").alias("vec_id"))
-                .join(asked.select("rep", F.col("id").alias("query_id")), "rep").where("query_id <> vec_id"))
+                .join(_keyed(asked.select("rep", F.col("id").alias("query_id"))), "rep").where("query_id <> vec_id"))
     place = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (expanded.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= count)
             .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))
