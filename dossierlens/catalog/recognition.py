@@ -1,5 +1,11 @@
 """From raw files to recognised documents: text files written from ``documents``, pages and embedded text from ``conversations``."""
 
+import os
+import re
+from itertools import groupby
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from dossierlens.catalog import bindings as b
@@ -14,15 +20,57 @@ MIME = """element_at(array('application/pdf', 'application/pdf', 'IMAGE/PNG ', '
 
 # A file per document: every task moves its own files to their place, where the default leaves them all to the driver.
 ONE_FILE_A_ROW = {"compression": "none", "mapreduce.fileoutputcommitter.algorithm.version": "2"}
+# Ids of a folder where tasks write the files themselves; every folder is listed by its own call and known to the driver.
+FOLDER_IDS = 1000
+
+
+def _local(path):
+    """The plain name of a path on the local file system (or one mounted there), None for other stores."""
+    found = re.match(r"(?:file:(?://(?=/))?)?(/(?!/).*)", path)
+    return found and found.group(1)
+
+
+def _files_of_a_task(root):
+    """Writes the rows of a task as ``<root>/doc_id=<ids>/part-<task>-doc_id=<id>.txt``, one line per row; a file appears whole, and a
+    repeated task replaces its files by the same ones."""
+    def write(batches):
+        task, known, rows = TaskContext.get(), set(), 0
+        lines = ((key, line) for batch in batches for key, line in zip(
+            batch.column("doc_id").to_pylist(), batch.column("value").cast(pa.binary()).to_pylist()))
+        for key, group in groupby(lines, lambda row: row[0]):
+            ids = "none" if key is None else f"{key - key % FOLDER_IDS}-{key - key % FOLDER_IDS + FOLDER_IDS - 1}"
+            folder = f"{root}/doc_id={ids}"
+            if folder not in known:
+                os.makedirs(folder, exist_ok=True)
+                known.add(folder)
+            name = f"part-{task.partitionId():05d}-doc_id={key}.txt"
+            hidden = f"{folder}/.{name}-{task.taskAttemptId()}"
+            with open(hidden, "wb") as out:
+                for _, line in group:
+                    out.write(line + b"\n")
+                    rows += 1
+            os.replace(hidden, f"{folder}/{name}")
+        yield pa.RecordBatch.from_arrays([pa.array([rows], pa.int64())], names=["n"])
+    return write
+
+
+def write_text_files(texts, path):
+    """One text file per ``doc_id``, the lines of which are its rows. Hadoop's local file system starts a process for each permission
+    it sets, two a file, so there the tasks write their files themselves; other stores go through Spark's writer."""
+    root = _local(path)
+    if root is None:
+        texts.write.options(**ONE_FILE_A_ROW).partitionBy("doc_id").text(path)
+    else:
+        os.makedirs(root, exist_ok=True)
+        texts.sortWithinPartitions("doc_id").mapInArrow(_files_of_a_task(root), "n long").agg(F.sum("n")).collect()
 
 
 def text_files(spark, sf_dir):
     """The texts of ``documents`` as files of the raw zone, read back as such."""
     path = scratch_path(spark, "raw")
-    texts = b.spread(b.table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("value")), "doc_id")
-    texts.write.options(**ONE_FILE_A_ROW).partitionBy("doc_id").text(path)
+    write_text_files(b.spread(b.table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("value")), "doc_id"), path)
     accepted, _ = readers.read_raw(spark, path, accepted=["text/plain"])
-    return accepted.select(F.concat(F.lit("doc-"), F.regexp_extract("path", "doc_id=([0-9]+)", 1)).alias("document_id"), "mime_type", "content")
+    return accepted.select(F.concat(F.lit("doc-"), F.regexp_extract("path", r"doc_id=([0-9]+)(?:/|\.txt$)", 1)).alias("document_id"), "mime_type", "content")
 
 
 @query("s01_read_raw", """
